@@ -157,3 +157,9 @@ def exclusive_prefix_sum(arr: Column) -> Column:
                                 F.concat(acc["out"], F.array(acc["s"])).alias("out")),
         lambda acc: acc["out"],
     )
+
+
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it many times in ``body`` (lambda bodies get no
+    common-subexpression elimination, so repeated references would recompute)."""
+    return F.transform(F.array(value), body)[0]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.regex import (ALNUM, NON_BLANK, NON_WORD_SPACE, WORD_ONLY,
-                               exclusive_prefix_sum, regex_profile)
+                               exclusive_prefix_sum, let, regex_profile)
 from ..sources.fixed_values import MIN_MATCH_CONFIDENCE
 
 MAX_BROADCAST_PATTERNS = 20000
@@ -69,7 +69,8 @@ def prepare_patterns(patterns: DataFrame) -> DataFrame:
     p = p.withColumn("confidence_value", F.coalesce("confidence_value", F.lit(1.0)))
     p = p.withColumn("allow_inefficient", F.coalesce("allow_inefficient", F.lit(False)))
     prof = regex_profile(F.col("expression"), F.col("allow_inefficient"))
-    p = p.withColumn("_prof", prof)
+    # the pattern table is a small dimension: one Python worker profiles it once
+    p = p.coalesce(1).withColumn("_prof", prof)
     regex_like = F.col("type").isin("regex", "learned", "context")
     p = (p.withColumn("java_expr", F.col("_prof.java_expr"))
           .withColumn("n_groups", F.col("_prof.n_groups"))
@@ -79,7 +80,7 @@ def prepare_patterns(patterns: DataFrame) -> DataFrame:
           .withColumn("is_valid", F.when(regex_like, F.col("_prof.is_valid")).otherwise(F.lit(True)))
           .withColumn("lint_issues", F.col("_prof.lint_issues"))
           .drop("_prof"))
-    return p
+    return p.cache()
 
 
 def patterns_by_industry(patterns: DataFrame) -> DataFrame:
@@ -122,30 +123,39 @@ def attach_patterns(docs: DataFrame, patterns: DataFrame, no_industry: str = "no
 # raw matches (H1)
 # --------------------------------------------------------------------------
 def _java_matches(text: Column, p: Column) -> Column:
-    """All non-overlapping matches of pattern ``p`` in ``text`` with offsets."""
+    """All non-overlapping matches of pattern ``p`` in ``text`` with offsets.
+
+    Matches, gaps, group values and offsets are each computed once (``let``)."""
     expr = p["java_expr"]
-    ms = F.regexp_extract_all(text, expr, F.lit(0))
-    gs = F.split(text, expr, -1)
-    steps = F.zip_with(F.slice(gs, 1, F.size(ms)), ms,
-                       lambda g, m: (F.length(g) + F.length(m)).cast("bigint"))
-    pre = exclusive_prefix_sum(steps)
-    groups = F.transform(p["named_idx"], lambda g: F.regexp_extract_all(text, expr, g))
-
-    def one(m, i):
-        gap = gs[i]
-        start = pre[i] + F.length(gap)
-        prev_c = (F.when(F.length(gap) > 0, F.substring(gap, -1, 1))
-                  .when(i > 0, F.substring(ms[i - 1], -1, 1)).otherwise(F.lit("")))
-        nxt = gs[i + 1]
-        next_c = (F.when(F.length(nxt) > 0, F.substring(nxt, 1, 1))
-                  .when(i + 1 < F.size(ms), F.substring(ms[i + 1], 1, 1)).otherwise(F.lit("")))
-        return F.struct(m.alias("text"), start.alias("start"),
-                        (start + F.length(m)).alias("end"),
-                        prev_c.alias("prev_char"), next_c.alias("next_char"),
-                        F.transform(groups, lambda a: a[i]).alias("named"))
+    scan = F.struct(F.regexp_extract_all(text, expr, F.lit(0)).alias("ms"),
+                    F.split(text, expr, -1).alias("gs"),
+                    F.transform(p["named_idx"], lambda g: F.regexp_extract_all(text, expr, g)).alias("groups"))
+
+    def with_offsets(sc):
+        steps = F.zip_with(F.slice(sc["gs"], 1, F.size(sc["ms"])), sc["ms"],
+                           lambda g, m: (F.length(g) + F.length(m)).cast("bigint"))
+        return F.struct(sc["ms"].alias("ms"), sc["gs"].alias("gs"), sc["groups"].alias("groups"),
+                        exclusive_prefix_sum(steps).alias("pre"))
+
+    def emit(sc):
+        ms, gs, pre, groups = sc["ms"], sc["gs"], sc["pre"], sc["groups"]
+        n = F.size(ms)
+
+        def one(m, i):
+            gap, nxt = gs[i], gs[i + 1]
+            start = pre[i] + F.length(gap)
+            prev_c = (F.when(F.length(gap) > 0, F.substring(gap, -1, 1))
+                      .when(i > 0, F.substring(ms[i - 1], -1, 1)).otherwise(F.lit("")))
+            next_c = (F.when(F.length(nxt) > 0, F.substring(nxt, 1, 1))
+                      .when(i + 1 < n, F.substring(ms[i + 1], 1, 1)).otherwise(F.lit("")))
+            return F.struct(m.alias("text"), start.alias("start"),
+                            (start + F.length(m)).alias("end"),
+                            prev_c.alias("prev_char"), next_c.alias("next_char"),
+                            F.transform(groups, lambda a: a[i]).alias("named"))
+        return F.transform(ms, one)
 
     return F.when(p["zero_width"], F.array().cast(T.ArrayType(RAW_MATCH))) \
-            .otherwise(F.transform(ms, one))
+            .otherwise(let(let(scan, with_offsets), emit))
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(RAW_MATCH)))
@@ -178,14 +188,20 @@ def _py_matches(text: pd.Series, exprs: pd.Series) -> pd.Series:
 # --------------------------------------------------------------------------
 def score_regex_match(raw: Column, p: Column, lead: Column, core_len: Column) -> Column:
     """Confidence of one regex match; returns the finished match struct."""
+    flags = F.struct(raw["text"].rlike(WORD_ONLY).alias("word"),
+                     raw["text"].rlike(NON_WORD_SPACE).alias("nonword"),
+                     ((raw["prev_char"] == "") | ~raw["prev_char"].rlike(ALNUM)).alias("prev_ok"),
+                     ((raw["next_char"] == "") | ~raw["next_char"].rlike(ALNUM)).alias("next_ok"))
+    return let(flags, lambda fl: _score(raw, p, lead, core_len, fl))
+
+
+def _score(raw: Column, p: Column, lead: Column, core_len: Column, fl: Column) -> Column:
     m = raw["text"]
     n = F.length(m).cast("double")
     k = F.size(F.filter(raw["named"], lambda v: v.rlike(NON_BLANK)))
     group_conf = F.pow(F.lit(0.9), k.cast("double"))
-    prev_ok = (raw["prev_char"] == "") | ~raw["prev_char"].rlike(ALNUM)
-    next_ok = (raw["next_char"] == "") | ~raw["next_char"].rlike(ALNUM)
-    boundary = F.when(prev_ok & next_ok, F.lit(1.0)).otherwise(F.lit(0.8))
-    is_word = m.rlike(WORD_ONLY)
+    boundary = F.when(fl["prev_ok"] & fl["next_ok"], F.lit(1.0)).otherwise(F.lit(0.8))
+    is_word = fl["word"]
     word = F.when(is_word, F.lit(1.0)).otherwise(F.lit(0.8))
     base = (p["confidence_value"] * 0.3
             + F.least(F.lit(1.0), n / 10) * 0.15
@@ -197,7 +213,7 @@ def score_regex_match(raw: Column, p: Column, lead: Column, core_len: Column) ->
     whole = (raw["start"] == lead) & (F.length(m) == core_len)
     c = F.when(whole, F.least(F.lit(1.0), c * 1.1)).otherwise(c)
     c = F.when((F.length(m) < 3) & ~is_word, c * 0.8).otherwise(c)
-    c = F.when(m.rlike(NON_WORD_SPACE), c * 0.9).otherwise(c)
+    c = F.when(fl["nonword"], c * 0.9).otherwise(c)
     c = F.when(p["allow_inefficient"], c * 0.85).otherwise(c)
     named_map = F.map_from_entries(F.filter(
         F.arrays_zip(p["named_names"].alias("k"),
@@ -264,7 +280,6 @@ def resolve_overlaps(matches: Column) -> Column:
     last kept end; otherwise let it replace the last kept one only when it is
     strictly more confident.  Ties keep pattern order (stable sort)."""
     ordered = F.array_sort(matches, _by_start_then_conf)
-    empty = F.slice(ordered, 1, 0)
 
     def step(acc, m):
         last = F.element_at(acc, -1)
@@ -273,7 +288,7 @@ def resolve_overlaps(matches: Column) -> Column:
                       F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(m)))
                 .otherwise(acc))
 
-    return F.aggregate(ordered, empty, step)
+    return let(ordered, lambda o: F.aggregate(o, F.slice(o, 1, 0), step))
 
 
 def find_matches(df: DataFrame, text_col: str = "text", patterns_col: str = "patterns",

@@ -1,3 +1,4 @@
 """Import every query module so the registry is complete."""
 
 from . import matching_queries  # noqa: F401
+from . import reply_queries  # noqa: F401
