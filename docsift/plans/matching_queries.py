@@ -36,18 +36,19 @@ def _flat(df: DataFrame, col: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # DuckDB oracle: an independent relational formulation (unnest + list ops)
 # ---------------------------------------------------------------------------
-def _pattern_values(only: list[str]) -> str:
+def _pattern_values(only: list[str] | None, rows: list[tuple] | None = None) -> str:
+    src = rows if rows is not None else pattern_rows(only=only)
     rows = [(pid, idx, expr, ft, ind, re.compile(expr).groups)
-            for pid, idx, _t, expr, ft, ind in pattern_rows(only=only)]
+            for pid, idx, _t, expr, ft, ind in src]
     return values_sql(rows, ["pattern_id", "pattern_idx", "expr", "feature_type", "industry", "n_groups"])
 
 
-def scored_matches_sql(docs_sql: str, only: list[str]) -> str:
+def scored_matches_sql(docs_sql: str, only: list[str] | None, rows: list[tuple] | None = None) -> str:
     """CTE chain ending in ``scored`` (doc_id, pattern_id, pattern_idx, feature_type, mt, st, en, c)."""
     alnum = r"'^[\p{L}\p{N}]$'"
     return f"""
 docs AS ({docs_sql}),
-pats AS ({_pattern_values(only)}),
+pats AS ({_pattern_values(only, rows)}),
 pairs AS (
   SELECT d.doc_id, d.text, p.pattern_id, p.pattern_idx, p.feature_type, p.n_groups,
          regexp_extract_all(d.text, p.expr) AS ms, string_split_regex(d.text, p.expr) AS gs

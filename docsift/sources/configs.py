@@ -17,7 +17,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .fixed_values import BASE_FEATURES, INDUSTRIES
 
@@ -176,16 +175,32 @@ def industry_listing(tables: dict[str, DataFrame]) -> DataFrame:
                .join(tables["industry_thresholds"], "industry", "left"))
 
 
-def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], version_col: str = "version",
-                  ts_col: str = "load_ts") -> DataFrame:
-    """Last version wins per key (semantic version compared numerically)."""
-    both = old.unionByName(new, allowMissingColumns=True)
-    vparts = F.split(F.col(version_col), r"\.")
-    order = [F.coalesce(vparts[i].cast("int"), F.lit(0)).desc() for i in range(3)]
-    if ts_col in both.columns:
-        order.append(F.col(ts_col).desc_nulls_last())
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return both.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+def upsert_latest(df: DataFrame, keys: list[str], order_cols: list[str] | None = None,
+                  version_col: str | None = None) -> DataFrame:
+    """Last version wins per key.
+
+    ``max_by`` over an ordering struct (semantic version parts compared
+    numerically, then ``order_cols``) is partially aggregated, so a key with
+    very many versions is combined map-side instead of sorted in one task.
+    Upsert = ``upsert_latest(old.unionByName(new), ...)``."""
+    order = []
+    if version_col is not None:
+        parts = F.split(F.col(version_col), r"\.")
+        order += [F.coalesce(F.try_element_at(parts, F.lit(i + 1)).cast("int"), F.lit(0)).alias(f"_v{i}")
+                  for i in range(3)]
+    order += [F.col(c) for c in (order_cols or [])]
+    payload = [c for c in df.columns if c not in keys]
+    return (df.groupBy(*keys)
+              .agg(F.max_by(F.struct(*payload), F.struct(*order)).alias("_latest"),
+                   F.count("*").alias("n_versions"))
+              .select(*keys, "_latest.*", "n_versions"))
+
+
+def delete_with_cascade(parent: DataFrame, children: list[DataFrame], deleted: DataFrame,
+                        key: str = "pattern_id") -> tuple[DataFrame, list[DataFrame]]:
+    """delete = anti join on the key, cascaded to child tables."""
+    return (parent.join(deleted, key, "left_anti"),
+            [c.join(deleted, key, "left_anti") for c in children])
 
 
 def config_violations(cfg: DataFrame) -> DataFrame:

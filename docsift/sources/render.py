@@ -147,3 +147,28 @@ def with_duck_ctes(sql: str, **ctes: str) -> str:
 
 def doc_ids(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("bigint"))
+
+
+# ---------------------------------------------------------------------------
+# feature sightings for the learner, one per event
+# ---------------------------------------------------------------------------
+def sighting_select(dialect: str) -> list[str]:
+    k = ("get_json_object(props, '$.k')" if dialect == "spark"
+         else "json_extract_string(props, '$.k')")
+    ftype = ("CASE event_type WHEN 'purchase' THEN 'amount' WHEN 'signup' THEN 'date' "
+             "WHEN 'click' THEN 'ref_code' WHEN 'view' THEN 'page_ref' ELSE 'error_code' END")
+    text = (f"CASE event_type WHEN 'purchase' THEN '$' || {_money('value')} "
+            f"WHEN 'signup' THEN {_fmt(dialect, 'ts', 'iso')} "
+            f"WHEN 'click' THEN 'REF-' || {k} "
+            f"WHEN 'view' THEN 'PAGE ' || CAST(user_id AS STRING) "
+            f"ELSE 'E' || {k} END")
+    return [f"{ftype} AS feature_type", f"{text} AS text",
+            "0.78 + 0.02 * CAST(event_id % 12 AS DOUBLE) AS confidence", "ts", "event_id AS seq"]
+
+
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    return ev.selectExpr(*sighting_select("spark"))
+
+
+SIGHTINGS_DUCK = "SELECT " + ", ".join(sighting_select("duck")) + " FROM events"
