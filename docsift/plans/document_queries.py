@@ -50,12 +50,12 @@ cnt AS (SELECT pattern_id,
           count(*) FILTER (WHERE flag AND toxic = 1) AS tp, count(*) FILTER (WHERE flag AND toxic <> 1) AS fp,
           count(*) FILTER (WHERE NOT flag AND toxic <> 1) AS tn, count(*) FILTER (WHERE NOT flag AND toxic = 1) AS fn
         FROM lp GROUP BY pattern_id),
-m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS p,
+vm AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS p,
                 CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS r FROM cnt),
-m2 AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * (p * r) / (p + r) ELSE 0.0 END AS f1 FROM m)
+vm2 AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * (p * r) / (p + r) ELSE 0.0 END AS f1 FROM vm)
 SELECT pattern_id, tp::BIGINT AS tp, fp::BIGINT AS fp, tn::BIGINT AS tn, fn::BIGINT AS fn,
        round_even(p, 3) AS precision, round_even(r, 3) AS recall, round_even(f1, 3) AS f1,
-       round_even(p * 0.4 + r * 0.4 + f1 * 0.2, 3) AS pattern_confidence FROM m2""")
+       round_even(p * 0.4 + r * 0.4 + f1 * 0.2, 3) AS pattern_confidence FROM vm2""")
 def pattern_validation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per pattern confusion counts (match flag vs labels.toxic) -> precision/recall/F1/confidence."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
