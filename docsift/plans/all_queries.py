@@ -4,3 +4,4 @@ from . import matching_queries  # noqa: F401
 from . import reply_queries  # noqa: F401
 from . import document_queries  # noqa: F401
 from . import learning_queries  # noqa: F401
+from . import fuzzy_queries  # noqa: F401
