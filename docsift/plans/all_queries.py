@@ -5,3 +5,4 @@ from . import reply_queries  # noqa: F401
 from . import document_queries  # noqa: F401
 from . import learning_queries  # noqa: F401
 from . import fuzzy_queries  # noqa: F401
+from . import context_queries  # noqa: F401
