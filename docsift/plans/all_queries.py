@@ -6,3 +6,4 @@ from . import document_queries  # noqa: F401
 from . import learning_queries  # noqa: F401
 from . import fuzzy_queries  # noqa: F401
 from . import context_queries  # noqa: F401
+from . import stream_queries  # noqa: F401

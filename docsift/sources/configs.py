@@ -148,14 +148,14 @@ def flatten_industry_json(cfg: DataFrame, base_features: DataFrame) -> dict[str,
         "industry", "feature_id", F.col("r.type").alias("rule_type"), F.col("r.value").alias("rule_value"))
     patterns = specific.select("industry", "feature_id",
                                F.posexplode("spec.patterns").alias("pattern_idx", "expression"))
-    required = cfg.select("industry", F.explode(f["validation_rules.required_features"]).alias("feature_id"))
-    cond = cfg.select("industry", F.explode(f["validation_rules.conditional_rules"]).alias("c"))
+    required = cfg.select("industry", F.explode(f["validation_rules"]["required_features"]).alias("feature_id"))
+    cond = cfg.select("industry", F.explode(f["validation_rules"]["conditional_rules"]).alias("c"))
     conditional = cond.select(
         "industry",
         F.regexp_extract("c.if", r"document_type\s*==\s*'([^']+)'", 1).alias("doc_type"),
         F.explode("c.then").alias("feature_id"))
-    thresholds = cfg.select("industry", f["confidence_thresholds.minimum"].alias("minimum"),
-                            f["confidence_thresholds.high"].alias("high"))
+    thresholds = cfg.select("industry", f["confidence_thresholds"]["minimum"].alias("minimum"),
+                            f["confidence_thresholds"]["high"].alias("high"))
     return {"industry_features": features, "industry_patterns": patterns,
             "industry_rules": rules, "industry_required": required,
             "industry_conditional": conditional, "industry_thresholds": thresholds,
