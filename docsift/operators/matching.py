@@ -83,6 +83,12 @@ def prepare_patterns(patterns: DataFrame) -> DataFrame:
     return p.cache()
 
 
+def has_zero_width(patterns: DataFrame) -> bool:
+    """Plan-time check on the small pattern table: does any usable regex need the Python path?"""
+    return patterns.filter(F.col("is_valid") & F.col("zero_width")
+                           & F.col("type").isin("regex", "learned")).limit(1).count() > 0
+
+
 def patterns_by_industry(patterns: DataFrame) -> DataFrame:
     """One row per industry: array of usable patterns in store order."""
     usable = patterns.filter(F.col("is_valid"))

@@ -114,7 +114,7 @@ def section_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.matching import regex_matches
     d = _docs(spark, sf_dir)
     d = d.withColumn("patterns", F.transform("patterns", lambda p: p.withField("type", F.lit("regex"))))
-    d = regex_matches(d).withColumn("_mk", located_markers(F.col("text"), F.col("context")))
+    d = regex_matches(d, use_python_path=False).withColumn("_mk", located_markers(F.col("text"), F.col("context")))
     rows = d.select("doc_id", "_mk", F.explode("regex_matches").alias("m"))
     act = active_sections(F.col("_mk"), F.col("m.start"))
     rows = rows.withColumn("act", act)
@@ -176,7 +176,7 @@ def context_confidence_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("context_resolved_matches")
 def context_resolved_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """find_matches with a context: context matches joined with resolution."""
-    d = find_matches(_docs(spark, sf_dir), context_col="context", fuzzy=False)
+    d = find_matches(_docs(spark, sf_dir), context_col="context", fuzzy=False, use_python_path=False)
     return (d.select("doc_id", F.explode("matches").alias("m"))
              .select(F.col("doc_id").cast("bigint"), F.col("m.pattern_id").alias("pattern_id"),
                      F.col("m.text").alias("match_text"), F.col("m.start").cast("bigint").alias("match_start"),

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.matching import (attach_patterns, find_matches, pattern_confidence,
+from ..operators.matching import (attach_patterns, find_matches, has_zero_width, pattern_confidence,
                                   prepare_patterns, regex_matches)
 from ..sources.configs import config_patterns, pattern_rows
 from ..sources.render import INVOICES_DUCK, invoices
@@ -22,6 +22,10 @@ def _invoice_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attach_patterns(invoices(spark, sf_dir), pats)
 
 
+def _zw(spark: SparkSession) -> bool:
+    return has_zero_width(prepare_patterns(config_patterns(spark, only=["financial"])))
+
+
 def _flat(df: DataFrame, col: str) -> DataFrame:
     return (df.select("doc_id", F.explode(col).alias("m"))
               .select(F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -97,17 +101,17 @@ resolved AS (SELECT doc_id, unnest(kept, recursive := true) FROM folded)"""
 
 def invoice_regex_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1+H2+F2+F3 via J1: every pattern match above threshold, before resolution."""
-    return _flat(regex_matches(_invoice_docs(spark, sf_dir)), "regex_matches")
+    return _flat(regex_matches(_invoice_docs(spark, sf_dir), use_python_path=_zw(spark)), "regex_matches")
 
 
 def resolved_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H4 with T1+A9: overlap-resolved matches per document."""
-    return _flat(find_matches(_invoice_docs(spark, sf_dir), fuzzy=False), "matches")
+    return _flat(find_matches(_invoice_docs(spark, sf_dir), fuzzy=False, use_python_path=_zw(spark)), "matches")
 
 
 def doc_pattern_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: mean confidence and count of resolved matches per document."""
-    d = pattern_confidence(find_matches(_invoice_docs(spark, sf_dir), fuzzy=False))
+    d = pattern_confidence(find_matches(_invoice_docs(spark, sf_dir), fuzzy=False, use_python_path=_zw(spark)))
     return d.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                     F.col("pattern_count"), r6("pattern_confidence").alias("pattern_confidence"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.features import dedup_features, pattern_features
-from ..operators.matching import attach_patterns, find_matches, pattern_confidence, prepare_patterns
+from ..operators.matching import (attach_patterns, find_matches, has_zero_width, pattern_confidence,
+                                  prepare_patterns)
 from ..operators.reply import parse_replies
 from ..operators.scoring import (apply_rubrics, confidence_band, hybrid_merge, industry_adjust,
                                  industry_required)
@@ -221,7 +222,8 @@ def hybrid_merge_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     pats = prepare_patterns(config_patterns(spark))
     d = _hybrid_inputs(spark, sf_dir)
     d = industry_adjust(apply_rubrics(parse_replies(d)), industry_required(cfg))
-    d = pattern_confidence(find_matches(attach_patterns(d, pats, no_industry="none"), fuzzy=False))
+    d = pattern_confidence(find_matches(attach_patterns(d, pats, no_industry="none"), fuzzy=False,
+                                        use_python_path=has_zero_width(pats)))
     return d.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                     r6("confidence").alias("model_confidence"),
                     r6("pattern_confidence").alias("pattern_confidence"),
@@ -239,7 +241,8 @@ def feature_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pats = prepare_patterns(config_patterns(spark))
     d = _hybrid_inputs(spark, sf_dir)
     d = industry_adjust(apply_rubrics(parse_replies(d)), industry_required(cfg))
-    d = find_matches(attach_patterns(d, pats, no_industry="all"), fuzzy=False)
+    d = find_matches(attach_patterns(d, pats, no_industry="all"), fuzzy=False,
+                     use_python_path=has_zero_width(pats))
     d = dedup_features(d.withColumn("pattern_features", pattern_features(F.col("matches"))))
     return (d.select("doc_id", F.posexplode("merged_features").alias("pos", "f"))
              .select(F.col("doc_id").cast("bigint").alias("doc_id"),
