@@ -7,10 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
+# tables whose rows carry the per-row work (text, replies, events); the rest are dimensions
+FACT_TABLES = ("orders", "lineitem", "events", "documents", "pages", "conversations", "part")
+
+
+def balance(df: DataFrame) -> DataFrame:
+    """Spread a scan that came out with fewer partitions than the cluster has cores
+    (small files with a single row group).  Large inputs already have many splits
+    and are returned untouched, so no shuffle is added at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*cols) if cols else df
+    df = df.select(*cols) if cols else df
+    return balance(df) if name in FACT_TABLES else df
