@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.fixed_values import FINANCIAL_SIGNALS, MEDICAL_SIGNALS
+from ..functions.regex import let
 from .reply import FEATURES, feature
 
 
@@ -33,8 +34,12 @@ def _set_equals(present: Column, items: list[str]) -> Column:
 
 def rubric_confidence(doc_type: Column, feats: Column, reply_conf: Column, multilingual: Column) -> Column:
     """Confidence from the document type's rubric (reply value otherwise)."""
-    present = _types(feats)
-    n_amount = F.size(F.filter(feats, lambda f: f["type"] == "amount"))
+    return let(F.struct(_types(feats).alias("present"),
+                        F.size(F.filter(feats, lambda f: f["type"] == "amount")).alias("n_amount")),
+               lambda v: _rubric(doc_type, v["present"], v["n_amount"], reply_conf, multilingual))
+
+
+def _rubric(doc_type: Column, present: Column, n_amount: Column, reply_conf: Column, multilingual: Column) -> Column:
     # H34 invoice
     c = F.lit(0.7)
     c = F.when(n_amount > 1, F.least(F.lit(1.0), c + 0.1)).otherwise(c)
@@ -106,17 +111,20 @@ def industry_adjust(df: DataFrame, required: DataFrame) -> DataFrame:
     Rows outside that scope get the no-industry amount/date aggregation (H42)."""
     df = df.join(F.broadcast(required), "industry", "left")
     feats, conf = F.col("features"), F.col("confidence")
-    present = _types(feats)
     req = F.coalesce(F.col("required"), F.array().cast("array<string>"))
-    missing = F.filter(req, lambda r: ~F.array_contains(present, r))
+    bound = let(_types(feats), lambda pr: F.struct(
+        pr.alias("present"), F.filter(req, lambda r: ~F.array_contains(pr, r)).alias("missing"),
+        F.exists(feats, lambda f: f["type"].isin(*MEDICAL_SIGNALS)).alias("medical"),
+        F.exists(feats, lambda f: f["type"].isin(*FINANCIAL_SIGNALS)).alias("financial")))
+    df = df.withColumn("_b", bound)
+    present, missing = F.col("_b.present"), F.col("_b.missing")
     n_miss = F.size(missing)
     warn = F.struct(F.lit("validation_warning").alias("type"),
                     F.concat(F.lit("Missing required fields: "), F.array_join(missing, ", ")).alias("value"),
                     F.array(F.concat(F.lit("Missing required fields: "), F.array_join(missing, ", "))).alias("values"),
                     F.lit(True).alias("present"))
     feats2 = F.when(n_miss > 0, F.concat(feats, F.array(warn))).otherwise(feats)
-    medical = F.exists(feats, lambda f: f["type"].isin(*MEDICAL_SIGNALS))
-    financial = F.exists(feats, lambda f: f["type"].isin(*FINANCIAL_SIGNALS))
+    medical, financial = F.col("_b.medical"), F.col("_b.financial")
     c = F.when(n_miss > 0, F.greatest(F.lit(0.8), conf - 0.1 * F.least(F.lit(2), n_miss))).otherwise(conf)
     c = F.when(medical & financial, F.greatest(F.lit(0.7), c - 0.2)).otherwise(c)
     c = F.when(n_miss > F.floor(F.size(req) / 2), F.least(c * 0.8, F.lit(0.7))).otherwise(c)
@@ -130,7 +138,7 @@ def industry_adjust(df: DataFrame, required: DataFrame) -> DataFrame:
     return (df.withColumn("missing_required", F.when(in_scope, missing))
               .withColumn("features", F.when(in_scope, F.transform(feats2, _clean_value)).otherwise(agg))
               .withColumn("confidence", F.when(in_scope, c).otherwise(conf))
-              .drop("required"))
+              .drop("required", "_b"))
 
 
 def aggregate_amounts_dates(feats: Column) -> Column:
