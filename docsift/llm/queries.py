@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, load
+from .packing import pack
 from .sharding import kd_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +34,9 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (kd_shards(load(spark, sf_dir, "documents"), 8)
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard")))
+
+
+@_query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids in sequences of at most 2048, by minimum bin slack."""
+    return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
