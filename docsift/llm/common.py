@@ -68,7 +68,8 @@ def shingle_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(word_hashes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for i in range(k):
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + word_hashes[i:i + n] + np.uint64(i + 1))
-    return h
+    h = word_hashes[:n].copy()
+    for i in range(1, k):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += word_hashes[i:i + n]
+    return mix64(h)

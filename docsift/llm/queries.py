@@ -8,9 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, load
+from . import bpe, language, toxicity
+from .common import bounded_batches, fold, load
+from .neardup import near_duplicates
 from .packing import pack
+from .repeats import remove_repeats
 from .sharding import kd_shards
+from .toxicity import labelled_toxic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +44,42 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids in sequences of at most 2048, by minimum bin slack."""
     return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query("op6_byte_bpe")
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and decoded bytes, as digests."""
+    return bpe.round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                          public_tokenizers.PATTERN)
+
+
+@_query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the folds other than 2."""
+    docs = load(spark, sf_dir, "documents")
+    model = language.train(docs.where(fold(F.col("doc_id")) != 2))
+    return (language.predict(docs, model)
+            .select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"),
+                    "lang_pred", "score", "rejected"))
+
+
+@_query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the folds other than 2."""
+    docs = load(spark, sf_dir, "documents")
+    model = toxicity.train(labelled_toxic(docs, load(spark, sf_dir, "labels")))
+    return (toxicity.score(docs, model)
+            .select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"),
+                    "score", "predicted"))
+
+
+@_query("op7_minhash_dedup")
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, near-duplicates by 2-word shingles at 80 %."""
+    return near_duplicates(load(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+@_query("op10_substring_dedup")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 13-word windows that a smaller document has."""
+    return remove_repeats(load(spark, sf_dir, "documents"), window=13, start=7, digest=True)
