@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, toxicity
+from . import bpe, hnsw, html_main, language, toxicity
 from .common import bounded_batches, fold, load
+from .embed_dedup import embedding_duplicates
 from .neardup import near_duplicates
 from .packing import pack
 from .repeats import remove_repeats
@@ -83,3 +85,29 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 13-word windows that a smaller document has."""
     return remove_repeats(load(spark, sf_dir, "documents"), window=13, start=7, digest=True)
+
+
+@_query("op1_hnsw")
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of each query (ids divisible by 100) among all embeddings."""
+    vectors = load(spark, sf_dir, "embeddings")
+    return hnsw.search(hnsw.index(vectors, 10), vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
+@_query("op5_embedding_dedup")
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, linked at a cosine of 0.95."""
+    return embedding_duplicates(load(spark, sf_dir, "embeddings"), 0.95)
+
+
+@_query("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = load(spark, sf_dir, "pages")
+    return html_main.extract(pages, html_main.train(pages))
+
+
+@_query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)

@@ -23,8 +23,8 @@ from .sampling import bounded_sample
 
 BITS = 20
 #: Labelled documents of each label in the sample at most (about), passes over them.
-PER_LABEL, EPOCHS = 3000, 3
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 0.6, 0.1
+PER_LABEL, EPOCHS = 4000, 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.5, 0.02
 
 _PART = bytes((b | 0x20 if 0x41 <= b <= 0x5A else b) if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 _PAIR, _SKIP = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
