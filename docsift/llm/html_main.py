@@ -188,13 +188,19 @@ LAYOUTS = [
 
 
 def laid_out(layout: str, main: list[str], other: list[str], rng: random.Random) -> tuple[list[Block], list[int]]:
-    """A labelled page: the layout with blocks' texts in its places."""
+    """A labelled page: the layout with blocks' texts in its places.  Some main blocks become
+    short headings or list items, and some of the other blocks long prose, as comments are."""
     head, body, tail = re.split(r"[{}]", layout)
-    inner = "".join(body.replace("~", f"\x01{html.escape(t)}") for t in main)
-    inner = re.sub("<p>", "<h1>", inner, count=1).replace("</p>", "</h1>", 1) if len(main) > 1 else inner
-    page = re.sub(r"\[~\]", lambda m: html.escape(rng.choice(other)), head) + inner + \
-        re.sub(r"\[~\]", lambda m: html.escape(rng.choice(other)), tail)
-    found = blocks(page)
+    inner = ""
+    for i, text in enumerate(main):
+        tag = "p"
+        if i == 0 or rng.random() < 0.3:
+            tag = rng.choice(["h1", "h2", "li", "blockquote", "p"] if i else ["h1", "h1", "h2", "p"])
+            if rng.random() < 0.6:
+                text = " ".join(text.split()[:rng.randrange(1, 6)])
+        inner += re.sub(r"\bp>", f"{tag}>", body).replace("~", f"\x01{html.escape(text)}")
+    place = lambda m: html.escape(rng.choice(main if rng.random() < 0.4 else other))
+    found = blocks(re.sub(r"\[~\]", place, head) + inner + re.sub(r"\[~\]", place, tail))
     labels = [int(b.text.startswith("\x01")) for b in found]
     for b in found:
         b.text = b.text.lstrip("\x01")
@@ -211,7 +217,7 @@ def fit(pages: list[str]) -> dict:
         cases.append((features(bs), y, False))
         cases.append((features(bs), y, True))
         main = [b.text for b, l in zip(bs, y) if l]
-        for _ in range(2 if main else 0):
+        for _ in range(3 if main else 0):
             cases.append((*(lambda r: (features(r[0]), r[1]))(laid_out(rng.choice(LAYOUTS), main, other, rng)), False))
     names = {f: i for i, f in enumerate(sorted({f for fs, _, _ in cases for block in fs for f in block}))}
     w = np.zeros((len(names), 2))
