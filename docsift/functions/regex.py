@@ -1,138 +1,65 @@
-"""Regex helpers: Python-syntax patterns on the JVM, pattern lint and profile.
+"""Regex helpers: pattern lint and profile, and small column helpers.
 
-Patterns are written in Python ``re`` syntax (that is what users store).  The
-matching itself runs in the JVM (``regexp_extract_all`` / ``split``), so each
-pattern is profiled once on the (small, size-checked) pattern table:
+Patterns are written in Python ``re`` syntax, and matched with it (see
+``operators/matching.py``).  Each pattern is profiled once, on the pattern table:
 
-* ``java_expr``     - the pattern rewritten for ``java.util.regex``
 * ``is_valid``      - compiles and passes the lint rules (F10)
 * ``n_groups``      - number of capturing groups
-* ``named_idx``     - group numbers of the named groups
-* ``zero_width``    - the pattern can match the empty string; such patterns go
-                      to the Python ``re.finditer`` path because gaps and
-                      matches no longer alternate for ``split``.
+* ``named_idx``     - group numbers of the named groups, ``named_names`` their names
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Character classes written so Java and RE2 read them alike (Python's str
-# ``isalnum`` / ``\w`` are Unicode letters and numbers).
-ALNUM = r"[\p{L}\p{N}]"
-WORD_ONLY = r"(?d)^[\p{L}\p{N}_]+$"          # Python re.match(r'^\w+$'): '$' also before a final \n
-NON_WORD_SPACE = r"(?U)[^\p{L}\p{N}_\s]"
 NON_BLANK = r"(?U)\S"
 
 PROFILE_SCHEMA = T.StructType([
-    T.StructField("java_expr", T.StringType()),
     T.StructField("is_valid", T.BooleanType()),
     T.StructField("lint_issues", T.ArrayType(T.StringType())),
     T.StructField("n_groups", T.IntegerType()),
     T.StructField("named_idx", T.ArrayType(T.IntegerType())),
     T.StructField("named_names", T.ArrayType(T.StringType())),
-    T.StructField("zero_width", T.BooleanType()),
 ])
 
-_NAMED_GROUP = re.compile(r"\(\?P<([A-Za-z_][A-Za-z0-9_]*)>")
-_NAMED_BACKREF = re.compile(r"\(\?P=([A-Za-z_][A-Za-z0-9_]*)\)")
-
-
-def to_java(expr: str) -> str:
-    """Rewrite Python-only syntax; ``(?U)`` makes ``\\w \\d \\s \\b`` Unicode as in Python 3."""
-    try:
-        index = re.compile(expr).groupindex
-    except re.error:
-        index = {}
-    out = _NAMED_BACKREF.sub(lambda m: "\\" + str(index.get(m.group(1), 0)), expr)
-    out = _NAMED_GROUP.sub("(", out)       # numbering is unchanged; names are not legal in Java
-    return "(?U)" + out
+_ESCAPE = re.compile(r"\\.", re.S)
+_CLASS = re.compile(r"\[([^\]]*)\]")
 
 
 def lint_issues(expr: str, allow_inefficient: bool = False) -> list[str]:
-    """Structural lint of a pattern: brackets, parentheses, wasteful wildcards."""
-    issues: list[str] = []
-    escaped = False
-    in_class = False
-    opened: list[int] = []
-    for i, c in enumerate(expr):
-        if escaped:
-            escaped = False
-            continue
-        if c == "\\":
-            escaped = True
-            continue
-        if c == "[":
-            if in_class:
-                issues.append(f"nested character class at {i}")
-            opened.append(i)
-            in_class = True
-        elif c == "]":
-            if not opened:
-                issues.append(f"unmatched ']' at {i}")
-            elif in_class:
-                opened.pop()
-                in_class = False
-    if in_class:
-        issues.append(f"unterminated character set at {opened[-1]}")
-    escaped = False
-    depth: list[int] = []
-    for i, c in enumerate(expr):
-        if escaped:
-            escaped = False
-            continue
-        if c == "\\":
-            escaped = True
-            continue
-        if c == "(":
-            depth.append(i)
-        elif c == ")":
-            if depth:
-                depth.pop()
-            else:
-                issues.append(f"unmatched ')' at {i}")
-    if depth:
-        issues.append(f"unclosed group at {depth[-1]}")
-    if not allow_inefficient:
-        if ".*.*" in expr:
-            issues.append("consecutive wildcards")
-        if expr.count("*") > 3:
-            issues.append("too many wildcards")
-        if expr.startswith(".*") and expr.endswith(".*"):
-            issues.append("leading and trailing wildcard")
-    return issues
+    """What the store rejects in a pattern: brackets inside or outside of a character class
+    that don't pair, parentheses that don't (those in a class count too), wasteful wildcards."""
+    plain = _ESCAPE.sub("", expr)
+    outside = _CLASS.sub("", plain)
+    level = list(accumulate(1 if c == "(" else -1 for c in plain if c in "()"))
+    wild = not allow_inefficient
+    rules = {
+        "bracket inside a character class": any("[" in body for body in _CLASS.findall(plain)),
+        "brackets don't pair": "[" in outside or "]" in outside,
+        "parentheses don't pair": bool(level) and (min(level) < 0 or level[-1] != 0),
+        "wildcards in a row": wild and ".*.*" in expr,
+        "over three wildcards": wild and expr.count("*") > 3,
+        "wildcards at both ends": wild and expr.startswith(".*") and expr.endswith(".*"),
+    }
+    return [issue for issue, found in rules.items() if found]
 
 
 def profile(expr: str | None, allow_inefficient: bool = False) -> dict:
-    if expr is None:
-        return dict(java_expr=None, is_valid=False, lint_issues=["missing expression"],
-                    n_groups=0, named_idx=[], named_names=[], zero_width=False)
     try:
         compiled = re.compile(expr)
-    except re.error as exc:
-        return dict(java_expr=None, is_valid=False, lint_issues=[f"does not compile: {exc}"],
-                    n_groups=0, named_idx=[], named_names=[], zero_width=False)
+    except (re.error, TypeError) as exc:
+        issue = "missing expression" if expr is None else f"does not compile: {exc}"
+        return dict(is_valid=False, lint_issues=[issue], n_groups=0, named_idx=[], named_names=[])
     issues = lint_issues(expr, bool(allow_inefficient))
     named = sorted(compiled.groupindex.items(), key=lambda kv: kv[1])
-    try:
-        from re import _parser as sre_parse  # stdlib; min width of the pattern
-        zero_width = sre_parse.parse(expr).getwidth()[0] == 0
-    except Exception:  # pragma: no cover - fallback when the parser moves
-        zero_width = compiled.fullmatch("") is not None
-    return dict(
-        java_expr=to_java(expr),
-        is_valid=(not issues) or bool(allow_inefficient),
-        lint_issues=issues,
-        n_groups=compiled.groups,
-        named_idx=[i for _, i in named],
-        named_names=[n for n, _ in named],
-        zero_width=bool(zero_width),
-    )
+    return dict(is_valid=(not issues) or bool(allow_inefficient), lint_issues=issues, n_groups=compiled.groups,
+                named_idx=[i for _, i in named], named_names=[n for n, _ in named])
 
 
 @F.pandas_udf(PROFILE_SCHEMA)
@@ -143,20 +70,17 @@ def regex_profile(expr: pd.Series, allow_inefficient: pd.Series) -> pd.DataFrame
     return pd.DataFrame(rows, columns=[f.name for f in PROFILE_SCHEMA.fields])
 
 
-def is_alnum_char(c: Column) -> Column:
-    return c.rlike("^" + ALNUM + "$")
-
-
-def exclusive_prefix_sum(arr: Column) -> Column:
-    """[x0, x1, ...] -> [0, x0, x0+x1, ...] as BIGINT."""
-    init = F.struct(F.lit(0).cast("bigint").alias("s"),
-                    F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(
-        arr, init,
-        lambda acc, x: F.struct((acc["s"] + x).alias("s"),
-                                F.concat(acc["out"], F.array(acc["s"])).alias("out")),
-        lambda acc: acc["out"],
-    )
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def exclusive_prefix_sum(arr):
+    """[x0, x1, ...] -> [0, x0, x0 + x1, ...] as BIGINT, in one pass over the batch."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    sizes = pc.fill_null(pc.list_value_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(arr.flatten().to_numpy(zero_copy_only=False).astype(np.int64))])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    sums = total[:-1] - np.repeat(total[first[:-1]], sizes)
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(sums, pa.int64()))
 
 
 def let(value: Column, body) -> Column:

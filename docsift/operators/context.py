@@ -19,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import NON_BLANK, let
+from ..functions.regex import let
 from ..sources.fixed_values import DEFAULT_CONTEXT_WEIGHTS, MIN_MATCH_CONFIDENCE
-from .matching import _java_matches, doc_whitespace_cols, score_regex_match
+from .matching import scored, with_scan
 
 
 def located_markers(text: Column, ctx: Column) -> Column:
@@ -127,14 +127,10 @@ def context_matches(df: DataFrame, text_col: str = "text", patterns_col: str = "
                     out_col: str = "context_matches") -> DataFrame:
     """Regex base matches of context patterns re-scored with their context.
     Only rows with a non-null context get context matches (as the matcher requires)."""
-    df = doc_whitespace_cols(df, text_col)
+    df = with_scan(df, text_col, patterns_col, ("context",), "_scan")
     text, ctx = F.col(text_col), F.col(context_col)
-    pats = F.filter(F.col(patterns_col), lambda p: (p["type"] == "context") & ~p["zero_width"])
     df = df.withColumn("_markers", located_markers(text, ctx))
-    lead, core = F.col("_lead"), F.col("_core_len")
-    base = F.transform(pats, lambda p: F.struct(p.alias("p"), F.filter(
-        F.transform(_java_matches(text, p), lambda r: score_regex_match(r, p, lead, core)),
-        lambda m: m["text"].rlike(NON_BLANK) & (m["confidence"] >= min_confidence)).alias("ms")))
+    base = F.transform("_scan", lambda e: F.struct(e["p"].alias("p"), scored(e, min_confidence).alias("ms")))
     out = F.flatten(F.transform(base, lambda b: F.transform(
         b["ms"], lambda m: _context_match(m, b["p"], text, ctx, F.col("_markers")))))
     out = F.filter(out, lambda m: m["confidence"] >= min_confidence)
@@ -142,7 +138,7 @@ def context_matches(df: DataFrame, text_col: str = "text", patterns_col: str = "
         "array<struct<pattern_id:string,pattern_idx:int,feature_type:string,match_type:string,text:string,"
         "start:bigint,end:bigint,confidence:double,named_groups:map<string,string>,section:string,"
         "section_type:string,hierarchy_level:int>>")).otherwise(out))
-              .drop("_lead", "_core_len", "_markers"))
+              .drop("_scan", "_markers"))
 
 
 def in_expected_section(markers: Column, position: Column, expected: Column) -> Column:

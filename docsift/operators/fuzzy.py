@@ -5,10 +5,11 @@ Three modes, chosen by the pattern: ``is_name`` (chunks of the text),
 
 Plan shape:
 
-    occurrences (doc_id, pattern, candidate, start, end)     <- explode per document
-    distinct (pattern, candidate) x examples                 <- only distinct pairs are scored
-        native: Levenshtein ratio, n-gram similarity, address parts (equi-join for J5)
-        Arrow UDF: difflib ratio, phonetic score
+    occurrences (doc_id, pattern_id, candidate, start, end)  <- explode per document, no text beside them
+    distinct (pattern, candidate) JOIN examples              <- only distinct pairs are scored
+        native: Levenshtein ratio, n-gram similarity, an upper bound of the score; pairs whose
+        bound is under the threshold go (J4); addresses meet by number and street type (J5)
+        Arrow UDF: difflib ratio, phonetic score, for the pairs that are left
     best example per (pattern, candidate)  max_by(score, -example_idx)  (first example wins ties)
     occurrences JOIN best ON (pattern_id, candidate)         <- hash join, AQE handles skew
     group per document -> ARRAY of match structs
@@ -33,10 +34,12 @@ CHUNK_SEPARATORS = ["\n", ".", ",", ";", ":", "-", " "]
 # ---------------------------------------------------------------------------
 # occurrences
 # ---------------------------------------------------------------------------
-def _word_occurrences(text: Column) -> Column:
-    words = ws_split(F.lower(text))
-    starts = exclusive_prefix_sum(F.transform(words, lambda w: (F.length(w) + 1).cast("bigint")))
-    return F.arrays_zip(words.alias("cand"), starts.alias("start"))
+def _with_offsets(df: DataFrame, parts: Column) -> DataFrame:
+    """Adds ``o``: array of (cand, start) for parts that one separator character stands between."""
+    df = df.withColumn("_parts", parts)
+    df = df.withColumn("_starts", exclusive_prefix_sum(F.transform("_parts", lambda w: (F.length(w) + 1).cast("bigint"))))
+    return df.withColumn("o", F.zip_with("_parts", "_starts", lambda c, s: F.struct(c.alias("cand"), s.alias("start")))) \
+             .drop("_parts", "_starts")
 
 
 def text_chunks(text: Column) -> Column:
@@ -53,35 +56,37 @@ def text_chunks(text: Column) -> Column:
     return F.filter(F.transform(allc, strip_ws), lambda c: c != "")
 
 
-def _line_occurrences(text: Column) -> Column:
-    lines = F.split(text, "\n", -1)
-    starts = exclusive_prefix_sum(F.transform(lines, lambda l: (F.length(l) + 1).cast("bigint")))
-    return F.arrays_zip(lines.alias("raw"), starts.alias("start"))
-
-
 def occurrences(df: DataFrame, text_col: str, patterns_col: str) -> DataFrame:
-    """(doc_id, pattern fields, mode, cand, start, end) for every fuzzy pattern of a document."""
+    """(doc_id, mode, pattern fields, cand, start, end) for every fuzzy pattern of a document.
+
+    A document's words, chunks and lines are made once for each mode, before its patterns
+    are opened, and the text stays behind."""
     text = F.col(text_col)
-    pats = F.filter(F.col(patterns_col), lambda p: (p["type"] == "fuzzy") & (F.size(p["examples"]) > 0))
-    base = df.select("doc_id", text.alias("_t"), F.explode(pats).alias("p"))
-    mode = (F.when(F.coalesce(F.col("p.is_name"), F.lit(False)), F.lit("name"))
-            .when(F.coalesce(F.col("p.is_address"), F.lit(False)), F.lit("address"))
-            .otherwise(F.lit("word")))
-    base = base.withColumn("mode", mode)
-    words = (base.filter(F.col("mode") == "word")
-             .select("doc_id", "p", "mode", F.explode(_word_occurrences(F.col("_t"))).alias("o"))
-             .select("doc_id", "p", "mode", F.col("o.cand").alias("cand"), F.col("o.start").alias("start")))
-    names = (base.filter(F.col("mode") == "name")
-             .select("doc_id", "p", "mode", "_t", F.explode(text_chunks(F.col("_t"))).alias("cand"))
-             .withColumn("start", (F.instr(F.lower(F.col("_t")), F.lower(F.col("cand"))) - 1).cast("bigint"))
-             .filter(F.col("start") >= 0).drop("_t"))
-    lines = (base.filter(F.col("mode") == "address")
-             .select("doc_id", "p", "mode", F.explode(_line_occurrences(F.col("_t"))).alias("o"))
-             .select("doc_id", "p", "mode", strip_ws(F.col("o.raw")).alias("cand"), F.col("o.start").alias("start"))
-             .filter(F.col("cand") != ""))
-    occ = words.unionByName(names).unionByName(lines)
-    return (occ.withColumn("end", F.col("start") + F.length("cand"))
-               .withColumn("pattern_id", F.col("p.pattern_id")))
+    fuzzy = lambda p: (p["type"] == "fuzzy") & (F.size(p["examples"]) > 0)
+    name = lambda p: F.coalesce(p["is_name"], F.lit(False))
+    address = lambda p: ~name(p) & F.coalesce(p["is_address"], F.lit(False))
+    slim = lambda p: F.struct(*[p[n].alias(n) for n in
+                                ("pattern_id", "pattern_idx", "feature_type", "min_confidence", "examples")])
+
+    def of(mode: str, kind) -> DataFrame:
+        pats = F.transform(F.filter(F.col(patterns_col), lambda p: fuzzy(p) & kind(p)), slim)
+        base = df.select("doc_id", text.alias("_t"), pats.alias("_pats")).filter(F.size("_pats") > 0)
+        if mode == "word":
+            base = _with_offsets(base, ws_split(F.lower("_t")))
+        elif mode == "address":
+            base = _with_offsets(base, F.split("_t", "\n", -1)).withColumn(
+                "o", F.transform("o", lambda x: F.struct(strip_ws(x["cand"]).alias("cand"), x["start"].alias("start"))))
+        else:
+            base = base.withColumn("o", let(F.lower("_t"), lambda low: F.transform(text_chunks(F.col("_t")), lambda c: F.struct(
+                c.alias("cand"), (F.instr(low, F.lower(c)) - 1).cast("bigint").alias("start")))))
+        return (base.select("doc_id", "_pats", F.explode("o").alias("o"))
+                .filter((F.col("o.start") >= 0) & ((F.lit(mode) != "address") | (F.col("o.cand") != "")))
+                .select("doc_id", F.explode("_pats").alias("p"), F.col("o.cand").alias("cand"), F.col("o.start").alias("start"))
+                .select("doc_id", F.lit(mode).alias("mode"), "p.*", "cand", "start",
+                        (F.col("start") + F.length("cand")).alias("end")))
+
+    return (of("word", lambda p: ~name(p) & ~address(p)).unionByName(of("name", name))
+            .unionByName(of("address", address)))
 
 
 # ---------------------------------------------------------------------------
@@ -124,23 +129,38 @@ def _name_confidence(seq: Column, lev: Column, ngram: Column, phon: Column, tp:
     return F.least(F.lit(1.0), c)
 
 
-def _pairs(occ: DataFrame) -> DataFrame:
-    keys = occ.select("mode", F.col("p.pattern_id").alias("pattern_id"), "cand",
-                      F.col("p.examples").alias("examples"), F.col("p.min_confidence").alias("min_conf")).distinct()
-    return keys.select("mode", "pattern_id", "cand", "min_conf",
-                       F.posexplode("examples").alias("ex_idx", "example"))
+def _examples(occ: DataFrame) -> DataFrame:
+    """One row for each example of each pattern."""
+    per = occ.groupBy(F.col("pattern_id").alias("e_pattern")).agg(
+        F.first("examples").alias("examples"), F.first("min_confidence").alias("min_conf"))
+    return per.select("e_pattern", "min_conf", F.posexplode("examples").alias("ex_idx", "example"))
+
 
+def _seq_bound(a: Column, b: Column) -> Column:
+    """No difflib ratio is larger: twice the shorter length over both lengths."""
+    x, y = F.length(a), F.length(b)
+    return F.when(x + y == 0, F.lit(1.0)).otherwise(2.0 * F.least(x, y) / (x + y))
 
-def _score_word_name(pairs: DataFrame) -> DataFrame:
+
+def _score_word_name(keys: DataFrame, examples: DataFrame, mode: str, min_confidence: float) -> DataFrame:
+    """Scores rise with the difflib ratio and the phonetic score, so a pair whose score with
+    their upper bounds misses the threshold can't be a match."""
     c, e = F.col("cand"), F.col("example")
-    p = pairs.withColumn("seq", seq_ratio(c, e)) \
-             .withColumn("lev", F.coalesce(levenshtein_ratio(c, e), F.lit(0.0))) \
-             .withColumn("ngram", ngram_similarity(c, e))
-    p = p.withColumn("phon", F.when(F.col("mode") == "name", phonetic_similarity(c, e)))
-    score = F.when(F.col("mode") == "name",
-                   name_confidence(F.col("seq"), F.col("lev"), F.col("ngram"), F.col("phon"), c, e)) \
-             .otherwise(text_confidence(F.col("seq"), F.col("lev"), F.col("ngram"), c, e))
-    return p.withColumn("score", score)
+    p = (keys.filter(F.col("mode") == mode).join(examples, F.col("pattern_id") == F.col("e_pattern"))
+         .withColumn("lev", F.coalesce(levenshtein_ratio(c, e), F.lit(0.0)))
+         .withColumn("ngram", ngram_similarity(c, e)))
+
+    def score(seq: Column, phon: Column) -> Column:
+        if mode == "name":
+            return name_confidence(seq, F.col("lev"), F.col("ngram"), phon, c, e)
+        return text_confidence(seq, F.col("lev"), F.col("ngram"), c, e)
+
+    p = p.filter(score(_seq_bound(c, e), F.lit(1.0)) >= F.coalesce("min_conf", F.lit(min_confidence)))
+    p = p.withColumn("seq", seq_ratio(c, e))
+    if mode == "name":
+        p = p.withColumn("phon", phonetic_similarity(c, e))
+    return p.withColumn("score", score(F.col("seq"), F.col("phon") if mode == "name" else F.lit(None))).select(
+        "mode", "pattern_id", "cand", "min_conf", "ex_idx", "example", "score")
 
 
 def _with_name_ratio(df: DataFrame) -> DataFrame:
@@ -157,26 +177,26 @@ def _with_name_ratio(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def _score_address(pairs: DataFrame) -> DataFrame:
-    """Equality on (number, normalised type) first; the name ratio only for survivors."""
-    a = pairs.withColumn("ca", address_parts(F.col("cand"))).withColumn("ea", address_parts(F.col("example")))
-    a = a.filter(F.col("ca").isNotNull() & F.col("ea").isNotNull()
-                 & (F.col("ca.number") == F.col("ea.number"))
-                 & (street_type_norm(F.col("ca.type")) == street_type_norm(F.col("ea.type"))))
-    a = a.select("mode", "pattern_id", "cand", "min_conf", "ex_idx", "example",
-                 F.col("ca.name").alias("ca_name"), F.col("ea.name").alias("ea_name"))
-    a = _with_name_ratio(a)
-    return (a.filter(F.col("name_sim") >= 0.8)
+def _score_address(keys: DataFrame, examples: DataFrame) -> DataFrame:
+    """An equi-join on (pattern, number, normalised type); the name ratio only for its rows."""
+    parsed = lambda df, col, pre: (df.withColumn("_a", address_parts(F.col(col))).filter(F.col("_a").isNotNull())
+                                   .withColumn(f"{pre}_number", F.col("_a.number")).withColumn(f"{pre}_name", F.col("_a.name"))
+                                   .withColumn(f"{pre}_type", street_type_norm(F.col("_a.type"))).drop("_a"))
+    a = parsed(keys.filter(F.col("mode") == "address"), "cand", "ca")
+    b = parsed(examples, "example", "ea")
+    j = a.join(b, (F.col("pattern_id") == F.col("e_pattern")) & (F.col("ca_number") == F.col("ea_number"))
+               & (F.col("ca_type") == F.col("ea_type")))
+    j = _with_name_ratio(j.select("mode", "pattern_id", "cand", "min_conf", "ex_idx", "example", "ca_name", "ea_name"))
+    return (j.filter(F.col("name_sim") >= 0.8)
              .withColumn("score", F.lit(1.0) * 0.4 + F.col("name_sim") * 0.4 + F.lit(1.0) * 0.2)
              .select("mode", "pattern_id", "cand", "min_conf", "ex_idx", "example", "score"))
 
 
 def best_examples(occ: DataFrame, min_confidence: float = MIN_MATCH_CONFIDENCE) -> DataFrame:
-    pairs = _pairs(occ)
-    wn = _score_word_name(pairs.filter(F.col("mode") != "address")) \
-        .select("mode", "pattern_id", "cand", "min_conf", "ex_idx", "example", "score")
-    ad = _score_address(pairs.filter(F.col("mode") == "address"))
-    scored = wn.unionByName(ad)
+    keys, examples = occ.select("mode", "pattern_id", "cand").distinct(), _examples(occ)
+    scored = (_score_word_name(keys, examples, "word", min_confidence)
+              .unionByName(_score_word_name(keys, examples, "name", min_confidence))
+              .unionByName(_score_address(keys, examples)))
     best = scored.groupBy("mode", "pattern_id", "cand").agg(
         F.max_by(F.struct("score", "example"), F.struct(F.col("score"), (-F.col("ex_idx")).alias("n"))).alias("b"),
         F.first("min_conf").alias("min_conf"))
@@ -189,10 +209,9 @@ def best_examples(occ: DataFrame, min_confidence: float = MIN_MATCH_CONFIDENCE)
 def fuzzy_match_rows(df: DataFrame, text_col: str = "text", patterns_col: str = "patterns") -> DataFrame:
     occ = occurrences(df, text_col, patterns_col)
     best = best_examples(occ)
-    j = occ.join(best, ["mode", "pattern_id", "cand"])
+    j = occ.drop("examples", "min_confidence").join(best, ["mode", "pattern_id", "cand"])
     return j.select("doc_id", F.struct(
-        F.col("p.pattern_id").alias("pattern_id"), F.col("p.pattern_idx").alias("pattern_idx"),
-        F.col("p.feature_type").alias("feature_type"), F.lit("partial").alias("match_type"),
+        "pattern_id", "pattern_idx", "feature_type", F.lit("partial").alias("match_type"),
         F.col("cand").alias("text"), F.col("start").cast("bigint").alias("start"),
         F.col("end").cast("bigint").alias("end"), F.col("score").alias("confidence"),
         F.create_map().cast("map<string,string>").alias("named_groups"),

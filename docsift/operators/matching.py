@@ -2,46 +2,54 @@
 
 Plan shape (map-only, no shuffle of document text):
 
-    documents ──(broadcast hash join on industry)── pattern arrays per industry
-        └─ per row: transform(patterns, p -> all matches of p)   [JVM regex]
-              └─ score (H2), drop blank / low matches (F3, F2)
-              └─ sort by (start, -confidence, pattern order) and fold (T1, A9)
-
-The pattern side is one row per industry holding that industry's patterns as
-an array; its size is checked before it is broadcast (``max_broadcast_patterns``)
-and a shuffle join is used beyond the bound.  Offsets come from
-``regexp_extract_all`` (matches) and ``split`` (gaps): the start of match i is
-the total length of the gaps and matches before it, so no per-row Python runs
-on the hot path.  Patterns that can match the empty string take an Arrow UDF
-path with ``re.finditer`` because gaps and matches then stop alternating.
+    documents ──(broadcast hash joins on industry)── pattern arrays per industry
+        └─ per row: all matches of all patterns, with offsets and flags   [Arrow batches, ``re``]
+              └─ score (H2), drop blank / low matches (F3, F2)            [JVM]
+              └─ sort by (start, -confidence, pattern order, ...) and fold (T1, A9)
+
+Patterns are stored in Python syntax and matched with ``re.finditer``: Spark's regex
+functions give neither offsets nor all groups of all matches, Java's syntax differs
+(``{,n}``, ``&&`` in classes, line ends), and a pattern may match the empty string.  One
+pass over a batch gives every match and the flags that scoring needs, so the cost grows
+with the text and the number of matches.
+
+The pattern side is one row per industry with that industry's patterns as an array.
+Broadcasts are bounded: a larger pattern table is joined in several parts of at most
+``BROADCAST_PATTERNS`` rows, one after the other.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.regex import (ALNUM, NON_BLANK, NON_WORD_SPACE, WORD_ONLY,
-                               exclusive_prefix_sum, let, regex_profile)
+from ..functions.regex import regex_profile
 from ..sources.fixed_values import MIN_MATCH_CONFIDENCE
 
-MAX_BROADCAST_PATTERNS = 20000
+#: Pattern rows of one broadcast at most.
+BROADCAST_PATTERNS = 20000
 
 RAW_MATCH = T.StructType([
     T.StructField("text", T.StringType()),
     T.StructField("start", T.LongType()),
     T.StructField("end", T.LongType()),
-    T.StructField("prev_char", T.StringType()),
-    T.StructField("next_char", T.StringType()),
     T.StructField("named", T.ArrayType(T.StringType())),
+    T.StructField("n_named", T.IntegerType()),
+    T.StructField("word", T.BooleanType()),      # letters, digits and _ only
+    T.StructField("marks", T.BooleanType()),     # holds something else than word characters and space
+    T.StructField("bounded", T.BooleanType()),   # no letter or digit right before or after it
+    T.StructField("whole", T.BooleanType()),     # the whole text but for space around it
+    T.StructField("blank", T.BooleanType()),
 ])
 
 PATTERN_FIELDS = ["pattern_id", "pattern_idx", "type", "feature_type", "expression",
-                  "java_expr", "n_groups", "named_idx", "named_names", "zero_width",
+                  "n_groups", "named_idx", "named_names",
                   "confidence_value", "allow_inefficient", "min_confidence", "is_name",
                   "is_address", "examples", "expected_section", "semantic_concepts",
                   "context_weights"]
@@ -69,240 +77,207 @@ def prepare_patterns(patterns: DataFrame) -> DataFrame:
     p = p.withColumn("confidence_value", F.coalesce("confidence_value", F.lit(1.0)))
     p = p.withColumn("allow_inefficient", F.coalesce("allow_inefficient", F.lit(False)))
     prof = regex_profile(F.col("expression"), F.col("allow_inefficient"))
-    # the pattern table is a small dimension: one Python worker profiles it once
-    p = p.coalesce(1).withColumn("_prof", prof)
+    p = p.withColumn("_prof", prof)
     regex_like = F.col("type").isin("regex", "learned", "context")
-    p = (p.withColumn("java_expr", F.col("_prof.java_expr"))
-          .withColumn("n_groups", F.col("_prof.n_groups"))
+    p = (p.withColumn("n_groups", F.col("_prof.n_groups"))
           .withColumn("named_idx", F.col("_prof.named_idx"))
           .withColumn("named_names", F.col("_prof.named_names"))
-          .withColumn("zero_width", F.col("_prof.zero_width"))
           .withColumn("is_valid", F.when(regex_like, F.col("_prof.is_valid")).otherwise(F.lit(True)))
           .withColumn("lint_issues", F.col("_prof.lint_issues"))
           .drop("_prof"))
-    return p.cache()
+    return p
 
 
-def has_zero_width(patterns: DataFrame) -> bool:
-    """Plan-time check on the small pattern table: does any usable regex need the Python path?"""
-    return patterns.filter(F.col("is_valid") & F.col("zero_width")
-                           & F.col("type").isin("regex", "learned")).limit(1).count() > 0
+def _in_order() -> Column:
+    """The rows' patterns as an array in store order."""
+    return F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in PATTERN_FIELDS])), _by_index)
+
+
+def _by_index(a: Column, b: Column) -> Column:
+    return (F.when(a["pattern_idx"] < b["pattern_idx"], -1).when(a["pattern_idx"] > b["pattern_idx"], 1)
+            .when(a["pattern_id"] < b["pattern_id"], -1).when(a["pattern_id"] > b["pattern_id"], 1).otherwise(0))
 
 
 def patterns_by_industry(patterns: DataFrame) -> DataFrame:
     """One row per industry: array of usable patterns in store order."""
-    usable = patterns.filter(F.col("is_valid"))
-    return (usable.groupBy("industry")
-            .agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in PATTERN_FIELDS])),
-                              lambda a, b: F.when(a["pattern_idx"] < b["pattern_idx"], -1)
-                              .when(a["pattern_idx"] > b["pattern_idx"], 1).otherwise(0))
-                 .alias("patterns")))
+    return (patterns.filter(F.col("is_valid") & F.col("industry").isNotNull())
+            .groupBy("industry").agg(_in_order().alias("patterns")))
 
 
 def attach_patterns(docs: DataFrame, patterns: DataFrame, no_industry: str = "none",
-                    max_broadcast_patterns: int = MAX_BROADCAST_PATTERNS) -> DataFrame:
+                    broadcast_patterns: int = BROADCAST_PATTERNS) -> DataFrame:
     """J1 (+J2): give each document the pattern array of its industry.
 
-    ``no_industry='all'`` gives documents without an industry every pattern
-    (feature extraction); ``'none'`` gives them none (hybrid classification).
+    ``no_industry='all'`` gives documents without an industry every pattern (feature
+    extraction); ``'none'`` gives them none (hybrid classification).  Only rows without
+    an industry meet the array of all patterns.
     """
-    n = patterns.filter(F.col("is_valid")).count()          # small table: bounded action
-    per_ind = patterns_by_industry(patterns)
-    side = F.broadcast(per_ind) if n <= max_broadcast_patterns else per_ind
-    out = docs.join(side, on="industry", how="left")
-    if no_industry == "all":
-        everything = (patterns.filter(F.col("is_valid"))
-                      .agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in PATTERN_FIELDS])),
-                                        lambda a, b: F.when(a["pattern_idx"] < b["pattern_idx"], -1)
-                                        .when(a["pattern_idx"] > b["pattern_idx"], 1).otherwise(0))
-                           .alias("_all_patterns")))
-        side_all = F.broadcast(everything) if n <= max_broadcast_patterns else everything
-        out = (out.crossJoin(side_all)
-               .withColumn("patterns", F.when(F.col("industry").isNull(), F.col("_all_patterns"))
-                           .otherwise(F.col("patterns")))
-               .drop("_all_patterns"))
-    return out.withColumn("patterns", F.coalesce("patterns", F.array().cast(
-        per_ind.schema["patterns"].dataType)))
+    parts = -(-patterns.count() // broadcast_patterns) or 1
+    out, names = docs, []
+    for i in range(parts):
+        part = patterns if parts == 1 else patterns.filter(F.pmod(F.xxhash64("pattern_id"), F.lit(parts)) == i)
+        side = patterns_by_industry(part)
+        if no_industry == "all":
+            every = part.filter("is_valid").agg(_in_order().alias("patterns"))
+            side = side.unionByName(every.select(F.lit(None).cast("string").alias("industry"), "patterns"))
+        names.append(f"_patterns_{i}")
+        side = side.select(F.col("industry").alias("_industry"), F.col("patterns").alias(names[-1]))
+        out = out.join(F.broadcast(side), out["industry"].eqNullSafe(side["_industry"]), "left").drop("_industry")
+    none = F.array().cast(side.schema[names[-1]].dataType)
+    arrays = [F.coalesce(F.col(n), none) for n in names]
+    merged = arrays[0] if parts == 1 else F.array_sort(F.concat(*arrays), _by_index)
+    return out.withColumn("patterns", merged).drop(*names)
 
 
 # --------------------------------------------------------------------------
 # raw matches (H1)
 # --------------------------------------------------------------------------
-def _java_matches(text: Column, p: Column) -> Column:
-    """All non-overlapping matches of pattern ``p`` in ``text`` with offsets.
-
-    Matches, gaps, group values and offsets are each computed once (``let``)."""
-    expr = p["java_expr"]
-    scan = F.struct(F.regexp_extract_all(text, expr, F.lit(0)).alias("ms"),
-                    F.split(text, expr, -1).alias("gs"),
-                    F.transform(p["named_idx"], lambda g: F.regexp_extract_all(text, expr, g)).alias("groups"))
-
-    def with_offsets(sc):
-        steps = F.zip_with(F.slice(sc["gs"], 1, F.size(sc["ms"])), sc["ms"],
-                           lambda g, m: (F.length(g) + F.length(m)).cast("bigint"))
-        return F.struct(sc["ms"].alias("ms"), sc["gs"].alias("gs"), sc["groups"].alias("groups"),
-                        exclusive_prefix_sum(steps).alias("pre"))
-
-    def emit(sc):
-        ms, gs, pre, groups = sc["ms"], sc["gs"], sc["pre"], sc["groups"]
-        n = F.size(ms)
-
-        def one(m, i):
-            gap, nxt = gs[i], gs[i + 1]
-            start = pre[i] + F.length(gap)
-            prev_c = (F.when(F.length(gap) > 0, F.substring(gap, -1, 1))
-                      .when(i > 0, F.substring(ms[i - 1], -1, 1)).otherwise(F.lit("")))
-            next_c = (F.when(F.length(nxt) > 0, F.substring(nxt, 1, 1))
-                      .when(i + 1 < n, F.substring(ms[i + 1], 1, 1)).otherwise(F.lit("")))
-            return F.struct(m.alias("text"), start.alias("start"),
-                            (start + F.length(m)).alias("end"),
-                            prev_c.alias("prev_char"), next_c.alias("next_char"),
-                            F.transform(groups, lambda a: a[i]).alias("named"))
-        return F.transform(ms, one)
-
-    return F.when(p["zero_width"], F.array().cast(T.ArrayType(RAW_MATCH))) \
-            .otherwise(let(let(scan, with_offsets), emit))
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(RAW_MATCH)))
-def _py_matches(text: pd.Series, exprs: pd.Series) -> pd.Series:
-    """``re.finditer`` for patterns that can match the empty string (rare path)."""
-    out = []
-    for t, es in zip(text, exprs):
-        per = []
-        for e in (es if es is not None else []):
-            rows = []
-            if t is not None:
-                try:
-                    rx = re.compile(e)
-                    names = sorted(rx.groupindex.items(), key=lambda kv: kv[1])
-                    for m in rx.finditer(t):
-                        s, en = m.start(), m.end()
-                        rows.append({"text": m.group(), "start": s, "end": en,
-                                     "prev_char": t[s - 1] if s > 0 else "",
-                                     "next_char": t[en] if en < len(t) else "",
-                                     "named": [m.group(i) or "" for _, i in names]})
-                except re.error:
-                    rows = []
-            per.append(rows)
-        out.append(per)
-    return pd.Series(out)
+_WORD, _MARK = re.compile(r"\w+\n?\Z"), re.compile(r"[^\w\s]")
+
+
+@lru_cache(maxsize=4096)
+def _compiled(expr: str) -> tuple[re.Pattern, tuple[int, ...]] | None:
+    try:
+        rx = re.compile(expr)
+    except re.error:
+        return None
+    return rx, tuple(sorted(rx.groupindex.values()))
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(RAW_MATCH)))
+def scan(text: pa.Array, exprs: pa.Array) -> pa.Array:
+    """All non-overlapping matches of each of a row's expressions in its text; a null text,
+    a null expression and one that doesn't compile have none."""
+    cols: dict[str, list] = {f.name: [] for f in RAW_MATCH.fields}
+    per_row, per_expr, rows = [0], [0], 0
+    for t, es in zip(text.to_pylist(), exprs.to_pylist()):
+        if t is not None and es:
+            core = t.strip()
+            lead = len(t) - len(t.lstrip())
+        for e in es or ():
+            found = _compiled(e) if t is not None and e is not None else None
+            if found is not None:
+                rx, named = found
+                for m in rx.finditer(t):
+                    s, end, x = m.start(), m.end(), m.group()
+                    groups = [(m.group(i) or "").strip() for i in named]
+                    for name, value in zip(cols, (
+                            x, s, end, groups, sum(map(bool, groups)), _WORD.match(x) is not None,
+                            _MARK.search(x) is not None,
+                            not (s > 0 and t[s - 1].isalnum()) and not (end < len(t) and t[end].isalnum()),
+                            s == lead and x == core, not x.strip())):
+                        cols[name].append(value)
+            per_expr.append(len(cols["start"]))
+            rows += 1
+        per_row.append(rows)
+    types = {"text": pa.string(), "start": pa.int64(), "end": pa.int64(), "named": pa.list_(pa.string()), "n_named": pa.int32()}
+    struct = pa.StructArray.from_arrays([pa.array(v, types.get(n, pa.bool_())) for n, v in cols.items()], names=list(cols))
+    inner = pa.ListArray.from_arrays(pa.array(per_expr, pa.int32()), struct)
+    return pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), inner)
+
+
+#: Marked so that the optimizer doesn't copy the call into filters, where it would run again.
+_scan_once = scan.asNondeterministic()
+
+
+def with_scan(df: DataFrame, text_col: str, patterns_col: str, types: tuple[str, ...], out: str) -> DataFrame:
+    """Adds ``out``: array of (p, raw matches) for the patterns of these types."""
+    df = df.withColumn(f"{out}_p", F.filter(F.col(patterns_col), lambda p: p["type"].isin(*types)))
+    df = df.withColumn(f"{out}_m", _scan_once(F.col(text_col), F.transform(f"{out}_p", lambda p: p["expression"])))
+    return df.withColumn(out, F.zip_with(f"{out}_p", f"{out}_m", lambda p, m: F.struct(p.alias("p"), m.alias("raw")))) \
+             .drop(f"{out}_p", f"{out}_m")
 
 
 # --------------------------------------------------------------------------
 # scoring (H2) and filters
 # --------------------------------------------------------------------------
-def score_regex_match(raw: Column, p: Column, lead: Column, core_len: Column) -> Column:
+def score_regex_match(raw: Column, p: Column) -> Column:
     """Confidence of one regex match; returns the finished match struct."""
-    flags = F.struct(raw["text"].rlike(WORD_ONLY).alias("word"),
-                     raw["text"].rlike(NON_WORD_SPACE).alias("nonword"),
-                     ((raw["prev_char"] == "") | ~raw["prev_char"].rlike(ALNUM)).alias("prev_ok"),
-                     ((raw["next_char"] == "") | ~raw["next_char"].rlike(ALNUM)).alias("next_ok"))
-    return let(flags, lambda fl: _score(raw, p, lead, core_len, fl))
-
-
-def _score(raw: Column, p: Column, lead: Column, core_len: Column, fl: Column) -> Column:
-    m = raw["text"]
-    n = F.length(m).cast("double")
-    k = F.size(F.filter(raw["named"], lambda v: v.rlike(NON_BLANK)))
-    group_conf = F.pow(F.lit(0.9), k.cast("double"))
-    boundary = F.when(fl["prev_ok"] & fl["next_ok"], F.lit(1.0)).otherwise(F.lit(0.8))
-    is_word = fl["word"]
-    word = F.when(is_word, F.lit(1.0)).otherwise(F.lit(0.8))
+    n = F.length(raw["text"]).cast("double")
+    word, bounded = raw["word"], raw["bounded"]
     base = (p["confidence_value"] * 0.3
             + F.least(F.lit(1.0), n / 10) * 0.15
             + F.least(F.lit(1.0), p["n_groups"].cast("double") / 3) * 0.1
-            + group_conf * 0.2
-            + boundary * 0.15
-            + word * 0.1)
-    c = F.when(is_word & (boundary == 1.0), F.least(F.lit(1.0), base * 1.2)).otherwise(base)
-    whole = (raw["start"] == lead) & (F.length(m) == core_len)
-    c = F.when(whole, F.least(F.lit(1.0), c * 1.1)).otherwise(c)
-    c = F.when((F.length(m) < 3) & ~is_word, c * 0.8).otherwise(c)
-    c = F.when(fl["nonword"], c * 0.9).otherwise(c)
+            + F.pow(F.lit(0.9), raw["n_named"].cast("double")) * 0.2
+            + F.when(bounded, F.lit(1.0)).otherwise(F.lit(0.8)) * 0.15
+            + F.when(word, F.lit(1.0)).otherwise(F.lit(0.8)) * 0.1)
+    c = F.when(word & bounded, F.least(F.lit(1.0), base * 1.2)).otherwise(base)
+    c = F.when(raw["whole"], F.least(F.lit(1.0), c * 1.1)).otherwise(c)
+    c = F.when((n < 3) & ~word, c * 0.8).otherwise(c)
+    c = F.when(raw["marks"], c * 0.9).otherwise(c)
     c = F.when(p["allow_inefficient"], c * 0.85).otherwise(c)
-    named_map = F.map_from_entries(F.filter(
-        F.arrays_zip(p["named_names"].alias("k"),
-                     F.transform(raw["named"], lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", "")).alias("v")),
-        lambda e: e["v"].rlike(NON_BLANK)))
+    none = F.create_map().cast("map<string,string>")
+    named = F.when(raw["n_named"] > 0, F.map_from_entries(F.filter(
+        F.arrays_zip(p["named_names"].alias("k"), raw["named"].alias("v")), lambda e: e["v"] != ""))).otherwise(none)
     return F.struct(
         p["pattern_id"].alias("pattern_id"), p["pattern_idx"].alias("pattern_idx"),
         p["feature_type"].alias("feature_type"), F.lit("exact").alias("match_type"),
-        m.alias("text"), raw["start"].alias("start"), raw["end"].alias("end"),
-        c.alias("confidence"), named_map.alias("named_groups"),
+        raw["text"].alias("text"), raw["start"].alias("start"), raw["end"].alias("end"),
+        c.alias("confidence"), named.alias("named_groups"),
         F.lit(None).cast("string").alias("section"),
         F.lit(None).cast("string").alias("section_type"),
         F.lit(None).cast("int").alias("hierarchy_level"),
     )
 
 
-def doc_whitespace_cols(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Leading-whitespace count and stripped length (for the 'whole text' boost)."""
-    t = F.col(text_col)
-    lead = F.length(F.regexp_extract(t, r"(?U)^\s*", 0))
-    trail = F.length(F.regexp_extract(t, r"(?U)\s*$", 0))
-    return (df.withColumn("_lead", lead.cast("bigint"))
-              .withColumn("_core_len", F.greatest(F.lit(0), F.length(t) - lead - trail).cast("bigint")))
+def scored(entry: Column, min_confidence: float) -> Column:
+    """F3 (blank matches go), H2, F2 (threshold) for one pattern's raw matches."""
+    matches = F.transform(F.filter(entry["raw"], lambda r: ~r["blank"]), lambda r: score_regex_match(r, entry["p"]))
+    return F.filter(matches, lambda m: m["confidence"] >= min_confidence)
 
 
 def regex_matches(df: DataFrame, text_col: str = "text", patterns_col: str = "patterns",
-                  min_confidence: float = MIN_MATCH_CONFIDENCE, use_python_path: bool = True,
-                  out_col: str = "regex_matches") -> DataFrame:
+                  min_confidence: float = MIN_MATCH_CONFIDENCE, out_col: str = "regex_matches") -> DataFrame:
     """H1+H2+H3+F2+F3 for regex/learned patterns in ``patterns_col``."""
-    df = doc_whitespace_cols(df, text_col)
-    text = F.col(text_col)
-    pats = F.filter(F.col(patterns_col), lambda p: p["type"].isin("regex", "learned"))
-    raw = F.transform(pats, lambda p: _java_matches(text, p))
-    if use_python_path:
-        zw = F.filter(pats, lambda p: p["zero_width"])
-        need = F.size(zw) > 0
-        df = df.withColumn("_py_raw", _py_matches(F.when(need, text),
-                                                  F.transform(pats, lambda p: F.when(p["zero_width"], p["expression"]))))
-        raw = F.zip_with(raw, F.col("_py_raw"),
-                         lambda j, py: F.when(F.size(j) > 0, j).otherwise(F.coalesce(py, F.array().cast(T.ArrayType(RAW_MATCH)))))
-    lead, core = F.col("_lead"), F.col("_core_len")
-    scored = F.flatten(F.zip_with(pats, raw, lambda p, rs: F.transform(
-        rs, lambda r: score_regex_match(r, p, lead, core))))
-    # F3 blank matches, F2 threshold
-    kept = F.filter(scored, lambda m: m["text"].rlike(NON_BLANK) & (m["confidence"] >= min_confidence))
-    out = df.withColumn(out_col, kept).drop("_lead", "_core_len")
-    if use_python_path:
-        out = out.drop("_py_raw")
-    return out
+    df = with_scan(df, text_col, patterns_col, ("regex", "learned"), "_scan")
+    return df.withColumn(out_col, F.flatten(F.transform("_scan", lambda e: scored(e, min_confidence)))).drop("_scan")
 
 
 # --------------------------------------------------------------------------
 # overlap resolution
 # --------------------------------------------------------------------------
 def _by_start_then_conf(a: Column, b: Column) -> Column:
-    return (F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1)
-            .when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1)
-            .when(a["pattern_idx"] < b["pattern_idx"], -1).when(a["pattern_idx"] > b["pattern_idx"], 1)
-            .otherwise(0))
+    """Start, then confidence (high first), pattern order, length (long first), text."""
+    order = F.lit(0)
+    for key, sign in (("text", 1), ("length", -1), ("pattern_idx", 1), ("confidence", -1), ("start", 1)):
+        x, y = (F.length(a["text"]), F.length(b["text"])) if key == "length" else (a[key], b[key])
+        order = F.when(x < y, -sign).when(x > y, sign).otherwise(order)
+    return order
 
 
-def resolve_overlaps(matches: Column) -> Column:
-    """Greedy left-to-right resolution: keep a match that starts at or after the
-    last kept end; otherwise let it replace the last kept one only when it is
-    strictly more confident.  Ties keep pattern order (stable sort)."""
-    ordered = F.array_sort(matches, _by_start_then_conf)
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _kept(start: pd.Series, end: pd.Series, confidence: pd.Series) -> pd.Series:
+    """Indices that the left-to-right fold keeps, from ordered matches."""
+    out = []
+    for starts, ends, scores in zip(start, end, confidence):
+        kept: list[int] = []
+        for i, s in enumerate(starts if starts is not None else ()):
+            if not kept or s >= ends[kept[-1]]:
+                kept.append(i)
+            elif scores[i] > scores[kept[-1]]:
+                kept[-1] = i
+        out.append(kept)
+    return pd.Series(out, dtype="object")
+
+
+_kept_once = _kept.asNondeterministic()
 
-    def step(acc, m):
-        last = F.element_at(acc, -1)
-        return (F.when((F.size(acc) == 0) | (m["start"] >= last["end"]), F.concat(acc, F.array(m)))
-                .when(m["confidence"] > last["confidence"],
-                      F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(m)))
-                .otherwise(acc))
 
-    return let(ordered, lambda o: F.aggregate(o, F.slice(o, 1, 0), step))
+def resolve_overlaps(df: DataFrame, matches: Column, out_col: str) -> DataFrame:
+    """Greedy left-to-right resolution: keep a match that starts at or after the
+    last kept end; otherwise let it replace the last kept one only when it is
+    strictly more confident.  Adds ``out_col``; linear in the matches after the sort."""
+    df = df.withColumn("_ordered", F.array_sort(matches, _by_start_then_conf))
+    df = df.withColumn("_kept", _kept_once(*(F.col("_ordered")[f] for f in ("start", "end", "confidence"))))
+    return df.withColumn(out_col, F.transform("_kept", lambda i: F.col("_ordered")[i])).drop("_ordered", "_kept")
 
 
 def find_matches(df: DataFrame, text_col: str = "text", patterns_col: str = "patterns",
                  min_confidence: float = MIN_MATCH_CONFIDENCE, context_col: str | None = None,
-                 fuzzy: bool = True, use_python_path: bool = True) -> DataFrame:
+                 fuzzy: bool = True) -> DataFrame:
     """H4: regex + learned (+ fuzzy, + context when a context column is given),
     threshold, then overlap resolution.  Adds ``matches``."""
-    df = regex_matches(df, text_col, patterns_col, min_confidence, use_python_path)
+    df = regex_matches(df, text_col, patterns_col, min_confidence)
     parts = [F.col("regex_matches")]
     drop = ["regex_matches"]
     if fuzzy:
@@ -318,7 +293,7 @@ def find_matches(df: DataFrame, text_col: str = "text", patterns_col: str = "pat
         drop.append("context_matches")
     allm = F.concat(*parts) if len(parts) > 1 else parts[0]
     allm = F.filter(allm, lambda m: m["confidence"] >= min_confidence)
-    return df.withColumn("matches", resolve_overlaps(allm)).drop(*drop)
+    return resolve_overlaps(df, allm, "matches").drop(*drop)
 
 
 def pattern_confidence(df: DataFrame, matches_col: str = "matches") -> DataFrame:

@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MAX_BROADCAST_RULES = 100000
+@F.pandas_udf(T.BooleanType())
+def _regex_ok(value: pd.Series, expr: pd.Series) -> pd.Series:
+    """Whether the value matches from its start, by the syntax rules are written in."""
+    def ok(v, e):
+        try:
+            return None if v is None or e is None else re.match(e, v) is not None
+        except re.error:
+            return False
+    return pd.Series([ok(v, e) for v, e in zip(value, expr)], dtype="object")
 
 
 def evaluate_rules(feats: DataFrame, rules: DataFrame) -> DataFrame:
-    """feats(industry, feature_type, feature_value, ...) x rules(industry, feature_id, rule_type, rule_value)."""
-    side = F.broadcast(rules) if rules.count() <= MAX_BROADCAST_RULES else rules
-    j = feats.join(side, (feats.industry == side.industry) & (feats.feature_type == side.feature_id)) \
-             .drop(side.industry)
-    lo = F.get_json_object("rule_value", "$.min").cast("bigint")
-    hi = F.get_json_object("rule_value", "$.max").cast("bigint")
-    ok = (F.when(F.col("rule_type") == "regex", F.expr("feature_value RLIKE rule_value"))
-          .when(F.col("rule_type") == "length", F.length("feature_value").between(lo, hi))
+    """feats(industry, feature_type, feature_value, ...) x rules(industry, feature_id, rule_type, rule_value).
+
+    ``regex``: the value matches; ``length``: its length is within min and max; ``range``: it is a
+    number within min and max; ``enum``: it is one of a JSON array of strings.  A bound that isn't
+    given doesn't limit; a null value gives null; other rule types pass.  The rules are a
+    configuration table; whether its side is broadcast is left to its size.
+    """
+    side = rules.withColumnRenamed("industry", "_rule_industry")
+    j = feats.join(side, (F.col("industry") == F.col("_rule_industry")) & (F.col("feature_type") == F.col("feature_id"))) \
+             .drop("_rule_industry")
+    value, kind = F.col("feature_value"), F.col("rule_type")
+    low, high = (F.get_json_object("rule_value", f"$.{k}").try_cast("double") for k in ("min", "max"))
+
+    def within(x: Column) -> Column:
+        return x.isNotNull() & F.coalesce(x >= low, F.lit(True)) & F.coalesce(x <= high, F.lit(True))
+
+    number = F.regexp_replace(value, r"[,$\s]", "").try_cast("double")
+    options = F.from_json("rule_value", "array<string>")
+    ok = (F.when(kind == "regex", _regex_ok(F.when(kind == "regex", value), F.when(kind == "regex", F.col("rule_value"))))
+          .when(value.isNull(), F.lit(None).cast("boolean"))
+          .when(kind == "length", within(F.length(value).cast("double")))
+          .when(kind == "range", within(number))
+          .when(kind == "enum", F.coalesce(F.array_contains(options, value), F.lit(False)))
           .otherwise(F.lit(True)))
     return j.withColumn("rule_ok", ok)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.documents import (best_variant, cache_lookup, dedup_by_hash,
                                    long_document_fast_path, preview, text_quality)
-from ..operators.matching import (attach_patterns, find_matches, has_zero_width, prepare_patterns,
+from ..operators.matching import (attach_patterns, find_matches, prepare_patterns,
                                   regex_matches)
 from ..operators.validation import confusion_metrics
 from ..sources.fixed_values import PREDEFINED_FEATURE_REGEX
@@ -39,8 +39,7 @@ SELECT doc_id::BIGINT AS doc_id, pid AS pattern_id, ft AS feature_type, mt AS ma
        s::BIGINT AS match_start, e::BIGINT AS match_end, round(c, 6) AS confidence FROM resolved""")
 def email_phone_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mail, phone and URL matches over whole documents, scored and overlap-resolved."""
-    zw = has_zero_width(prepare_patterns(spark.createDataFrame(CONTACT_ROWS, PATTERN_SCHEMA)))
-    return _flat(find_matches(_contact_docs(spark, sf_dir), fuzzy=False, use_python_path=zw), "matches")
+    return _flat(find_matches(_contact_docs(spark, sf_dir), fuzzy=False), "matches")
 
 
 @register("pattern_validation_metrics", _CONTACT + """,
@@ -62,8 +61,7 @@ def pattern_validation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per pattern confusion counts (match flag vs labels.toxic) -> precision/recall/F1/confidence."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
-    zw = has_zero_width(prepare_patterns(spark.createDataFrame(CONTACT_ROWS, PATTERN_SCHEMA)))
-    d = regex_matches(_contact_docs(spark, sf_dir, docs.join(labels, "doc_id")), use_python_path=zw)
+    d = regex_matches(_contact_docs(spark, sf_dir, docs.join(labels, "doc_id")))
     flags = d.select("toxic", F.explode(F.transform("patterns", lambda p: F.struct(
         p["pattern_id"].alias("pattern_id"),
         F.exists("regex_matches", lambda m: m["pattern_id"] == p["pattern_id"]).alias("flag")))).alias("f"))

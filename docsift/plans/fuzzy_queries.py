@@ -49,7 +49,7 @@ def _fuzzy_query(kind: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         pats = fuzzy_patterns(spark).filter(F.col("pattern_id") == f"fuzzy.{kind}")
         d = attach_patterns(_part_texts(spark, sf_dir, kind), pats)
-        return _flat(find_matches(d, fuzzy=True, use_python_path=False), "matches")
+        return _flat(find_matches(d, fuzzy=True), "matches")
     q.__doc__ = f"Fuzzy {kind} matching against pattern examples, scored on distinct pairs, overlap-resolved."
     return q
 

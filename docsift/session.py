@@ -29,6 +29,9 @@ def build_session(master: str | None = None, partitions: int | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # small splits, so that a local run's few files give every core a part of the scan
+        .config("spark.sql.files.maxPartitionBytes", os.environ.get("DOCSIFT_SPLIT_BYTES", "4m"))
+        .config("spark.sql.files.openCostInBytes", "1m")
         .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

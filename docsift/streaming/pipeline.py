@@ -70,7 +70,7 @@ def process_batch(batch: DataFrame, batch_id: int, patterns_by_industry: DataFra
     work = work.withColumn("industry", F.lit("contact")).join(F.broadcast(patterns_by_industry), "industry", "left")
     work = work.withColumn("patterns", F.coalesce("patterns", F.array().cast(
         patterns_by_industry.schema["patterns"].dataType))).withColumnRenamed("source_doc_id", "doc_id")
-    scored = pattern_confidence(find_matches(work, fuzzy=False, use_python_path=False))
+    scored = pattern_confidence(find_matches(work, fuzzy=False))
     fast = long_document_fast_path(scored.select("content_hash", "text"))
     res = (scored.join(fast.select("content_hash", "doc_class"), "content_hash", "left")
                  .select("content_hash", F.col("doc_id").alias("source_doc_id"), "pattern_count",
