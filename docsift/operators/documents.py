@@ -29,6 +29,11 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def unexpired(expires_at: Column, now: Column) -> Column:
+    """A result without an expiry stays; the others count until it."""
+    return expires_at.isNull() | (expires_at > now)
+
+
 def arg_cache_key(*parts: Column) -> Column:
     """First 16 hex chars of sha256 over '|'-joined parts."""
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)

@@ -86,11 +86,14 @@ def apply_rubrics(df: DataFrame) -> DataFrame:
 
 
 def industry_required(config: dict[str, DataFrame]) -> DataFrame:
-    """industry -> ordered required ids (a few rows; broadcast)."""
+    """industry -> ordered required ids, one row for every configured industry."""
     req = config["industry_required"].withColumn("_i", F.monotonically_increasing_id())
-    return (req.groupBy("industry")
-               .agg(F.array_sort(F.collect_list(F.struct("_i", "feature_id"))).alias("_r"))
-               .select("industry", F.transform("_r", lambda x: x["feature_id"]).alias("required")))
+    per = (req.groupBy("industry")
+           .agg(F.array_sort(F.collect_list(F.struct("_i", "feature_id"))).alias("_r"))
+           .select("industry", F.transform("_r", lambda x: x["feature_id"]).alias("required")))
+    known = config["industry_thresholds"].select("industry").unionByName(per.select("industry")).distinct()
+    return known.join(per, "industry", "left").select(
+        "industry", F.coalesce("required", F.array().cast("array<string>")).alias("required"))
 
 
 def _clean_value(f: Column) -> Column:
@@ -108,9 +111,12 @@ def _clean_value(f: Column) -> Column:
 def industry_adjust(df: DataFrame, required: DataFrame) -> DataFrame:
     """H40-H41 for rows with an industry and a type other than 'unknown'.
 
-    Rows outside that scope get the no-industry amount/date aggregation (H42)."""
-    df = df.join(F.broadcast(required), "industry", "left")
+    Rows without an industry, or of type 'unknown', get the no-industry amount/date
+    aggregation (H42).  An industry that isn't configured is an error of the row
+    (``industry_error``): its features and confidence stay as they are."""
+    df = df.join(required, "industry", "left")
     feats, conf = F.col("features"), F.col("confidence")
+    unknown = F.col("industry").isNotNull() & F.col("required").isNull()
     req = F.coalesce(F.col("required"), F.array().cast("array<string>"))
     bound = let(_types(feats), lambda pr: F.struct(
         pr.alias("present"), F.filter(req, lambda r: ~F.array_contains(pr, r)).alias("missing"),
@@ -135,9 +141,12 @@ def industry_adjust(df: DataFrame, required: DataFrame) -> DataFrame:
     c = F.when(_set_equals(present, ["amount", "invoice_number"]), F.least(c, F.lit(0.8))).otherwise(c)
     in_scope = ind.isNotNull() & (F.col("doc_type").isNull() | (F.col("doc_type") != "unknown"))
     agg = aggregate_amounts_dates(feats)
+    in_scope = in_scope & ~unknown
+    error = F.when(unknown, F.concat(F.lit("Invalid industry: "), ind))
     return (df.withColumn("missing_required", F.when(in_scope, missing))
-              .withColumn("features", F.when(in_scope, F.transform(feats2, _clean_value)).otherwise(agg))
+              .withColumn("features", F.when(unknown, feats).when(in_scope, F.transform(feats2, _clean_value)).otherwise(agg))
               .withColumn("confidence", F.when(in_scope, c).otherwise(conf))
+              .withColumn("industry_error", error)
               .drop("required", "_b"))
 
 
@@ -155,12 +164,6 @@ def aggregate_amounts_dates(feats: Column) -> Column:
         F.array(feature(F.lit("date"), F.try_element_at(dates, F.lit(1)), dates)))).otherwise(step1)
 
 
-def classify_replies(df: DataFrame, config: dict[str, DataFrame]) -> DataFrame:
-    """Parse -> rubric -> industry chain or aggregation: the model-side result."""
-    from .reply import parse_replies
-    return industry_adjust(apply_rubrics(parse_replies(df)), industry_required(config))
-
-
 def hybrid_merge(model_conf: Column, pattern_conf: Column, pattern_count: Column) -> Column:
     """0.6 * model + 0.4 * mean(match confidence) when there are matches."""
     return F.when(pattern_count > 0, model_conf * 0.6 + pattern_conf * 0.4).otherwise(model_conf)

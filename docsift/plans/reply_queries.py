@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.features import dedup_features, pattern_features
+from ..operators.jobs import classify, process_documents, request_key
 from ..operators.matching import (attach_patterns, find_matches, pattern_confidence,
                                   prepare_patterns)
 from ..operators.reply import parse_replies
 from ..operators.scoring import (apply_rubrics, confidence_band, hybrid_merge, industry_adjust,
                                  industry_required)
 from ..sources.configs import config_patterns, config_rows, config_tables
-from ..sources.render import invoice_text_sql, replies, reply_select
+from ..sources.render import reply_industry_sql, invoice_text_sql, replies, reply_select
 from ..sources.tables import table
 from .matching_queries import resolved_sql, scored_matches_sql
 from .registry import r6, register, values_sql
@@ -247,3 +248,58 @@ def feature_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.col("pos") + 1).cast("bigint").alias("seq"),
                      F.col("f.type").alias("feature_type"), F.col("f.value").alias("feature_value"),
                      F.col("f.source").alias("source")))
+
+
+# --- R1, S15: the document job ------------------------------------------------------------
+_JOB_NOW = "2024-06-01 00:00:00"
+
+
+def _job_select(select: list[str], text: str) -> list[str]:
+    """Hybrid inputs with some industries that aren't configured and some blank texts."""
+    rest = [c for c in select if not c.endswith((" AS industry", " AS doc_id"))]
+    return ["o_orderkey AS doc_id",
+            f"CASE WHEN o_orderkey % 17 = 0 THEN 'marine' ELSE {reply_industry_sql()} END AS industry",
+            *rest, f"CASE WHEN o_orderkey % 19 = 0 THEN '  ' ELSE {text} END AS text"]
+
+
+@register("process_documents", _IND + "," + scored_matches_sql(_HYB_DOCS, ["financial", "healthcare"])
+          + "," + resolved_sql() + """,
+pc AS (SELECT doc_id, avg(c) AS pconf, count(*) AS n FROM resolved GROUP BY doc_id),
+model AS (SELECT r.doc_id, r.industry, coalesce(a.final_confidence, r.confidence) AS mconf
+          FROM rub r LEFT JOIN adj a ON r.doc_id = a.doc_id),
+job AS (SELECT m.*, p.pconf, coalesce(p.n, 0) AS n,
+          CASE WHEN m.doc_id % 19 = 0 THEN 'No content provided'
+               WHEN m.doc_id % 17 = 0 THEN 'Invalid industry: marine' END AS error,
+          m.doc_id % 7 = 0 AND m.doc_id % 2 = 1 AS cached
+        FROM model m LEFT JOIN pc p ON m.doc_id = p.doc_id)
+SELECT doc_id::BIGINT AS doc_id, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status, error,
+       error IS NULL AND cached AS reused,
+       CASE WHEN error IS NULL THEN CASE WHEN cached THEN 0 ELSE n END END::BIGINT AS pattern_count,
+       CASE WHEN error IS NULL THEN CASE WHEN cached THEN 0.5 ELSE
+         round(CASE WHEN n > 0 THEN mconf * 0.6::DOUBLE + pconf * 0.4::DOUBLE ELSE mconf END, 6) END END AS confidence
+FROM job""")
+def process_documents_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests checked, unexpired results reused, the rest classified, matched and merged."""
+    cfg = config_tables(spark)
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    c = table(spark, sf_dir, "customer", "c_custkey", "c_name")
+    requests = (o.join(c, o.o_custkey == c.c_custkey, "left")
+                .selectExpr(*_job_select(reply_select("spark"), invoice_text_sql("spark"))))
+    now = F.lit(_JOB_NOW).cast("timestamp")
+    # results of an earlier run for every seventh request; those of even ids have expired
+    none = F.lit(None)
+    earlier = requests.filter("doc_id % 7 = 0").select(
+        request_key().alias("request_key"),
+        (now + F.when(F.col("doc_id") % 2 == 0, F.expr("INTERVAL -1 DAY")).otherwise(F.expr("INTERVAL 1 DAY"))).alias("expires_at"),
+        none.cast("string").alias("doc_type"), F.lit(0.5).alias("confidence"), none.cast("double").alias("model_confidence"),
+        none.cast("double").alias("pattern_confidence"), F.lit(0).cast("bigint").alias("pattern_count"),
+        none.cast(_features_type(spark)).alias("features"))
+    out = process_documents(requests, earlier, prepare_patterns(config_patterns(spark)), industry_required(cfg), now, 3600)
+    return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), "status", "error", "reused", "pattern_count",
+                      r6("confidence").alias("confidence"))
+
+
+def _features_type(spark: SparkSession):
+    empty = spark.createDataFrame([], "doc_id bigint, text string, industry string, response string")
+    cfg = config_tables(spark)
+    return classify(empty, prepare_patterns(config_patterns(spark)), industry_required(cfg)).schema["features"].dataType

@@ -29,6 +29,8 @@ SCHEMAS = {
     "industry_conditional": "industry string, doc_type string, feature_id string",
     "industry_thresholds": "industry string, minimum double, high double",
     "base_features": "feature_id string, type string, description string",
+    "base_patterns": "feature_id string, pattern_idx int, expression string",
+    "base_rules": "feature_id string, rule_type string, rule_value string",
 }
 
 
@@ -46,6 +48,8 @@ def config_rows(industries: dict | None = None) -> dict[str, list[tuple]]:
     rows: dict[str, list[tuple]] = {k: [] for k in SCHEMAS}
     for fid, spec in BASE_FEATURES.items():
         rows["base_features"].append((fid, spec["type"], spec["description"]))
+        rows["base_patterns"] += [(fid, i, expr) for i, expr in enumerate(spec["patterns"])]
+        rows["base_rules"] += [(fid, rtype, rval) for rtype, rval in spec.get("rules", [])]
     for ind, cfg in industries.items():
         for fid, scope, spec, importance, fmt in _feature_defs(ind, cfg):
             rows["industry_features"].append((ind, cfg["version"], fid, scope, spec["type"],
@@ -128,13 +132,14 @@ def read_industry_json(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("industry", F.regexp_extract("_file", r"([^/]+)\.json$", 1)).drop("_file")
 
 
-def flatten_industry_json(cfg: DataFrame, base_features: DataFrame) -> dict[str, DataFrame]:
-    """Flatten scanned configs into the config tables (J10 drops unknown shared ids)."""
+def flatten_industry_json(cfg: DataFrame, base: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Flatten scanned configs into the config tables.  Shared ids bring the patterns and rules
+    of their base features; unknown ones are dropped and listed (J10)."""
     f = F.col("features")
     specific = cfg.select("industry", "version", F.explode(f["specific"]).alias("feature_id", "spec"))
     shared_ids = cfg.select("industry", "version", F.posexplode(f["shared"]).alias("pos", "feature_id"))
-    shared = shared_ids.join(F.broadcast(base_features), "feature_id", "inner")
-    dropped = shared_ids.join(F.broadcast(base_features), "feature_id", "left_anti")
+    shared = shared_ids.join(base["base_features"], "feature_id", "inner")
+    dropped = shared_ids.join(base["base_features"], "feature_id", "left_anti")
     features = (shared.select("industry", "version", "feature_id", F.lit("shared").alias("scope"),
                               "type", F.lit(None).cast("string").alias("importance"),
                               "description", F.lit(None).cast("string").alias("format"))
@@ -148,6 +153,9 @@ def flatten_industry_json(cfg: DataFrame, base_features: DataFrame) -> dict[str,
         "industry", "feature_id", F.col("r.type").alias("rule_type"), F.col("r.value").alias("rule_value"))
     patterns = specific.select("industry", "feature_id",
                                F.posexplode("spec.patterns").alias("pattern_idx", "expression"))
+    named = shared_ids.select("industry", "feature_id").distinct()
+    rules = named.join(base["base_rules"], "feature_id").select(rules.columns).unionByName(rules)
+    patterns = named.join(base["base_patterns"], "feature_id").select(patterns.columns).unionByName(patterns)
     required = cfg.select("industry", F.explode(f["validation_rules"]["required_features"]).alias("feature_id"))
     cond = cfg.select("industry", F.explode(f["validation_rules"]["conditional_rules"]).alias("c"))
     conditional = cond.select(

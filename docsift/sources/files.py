@@ -43,7 +43,8 @@ def sniff_mime(content: Column) -> Column:
             .when(head.startswith("504B0304") & (F.instr(as_text, "word/") > 0), F.lit(DOCX))
             .when(head.startswith("504B0304") & (F.instr(as_text, "xl/") > 0), F.lit(XLSX))
             .when(head.startswith("504B0304"), F.lit("application/zip"))
-            .when(F.is_valid_utf8(as_text), F.lit("text/plain"))
+            # text in some one-byte encoding holds no zero byte; its verdict is text_quality's
+            .when(F.is_valid_utf8(as_text) | ~F.hex(content).rlike("^(..)*?00"), F.lit("text/plain"))
             .otherwise(F.lit("application/octet-stream")))
 
 
@@ -170,6 +171,17 @@ def extract_text(files: DataFrame) -> DataFrame:
     return files.select("path", "mime", "extension", "content").mapInPandas(run, EXTRACT_SCHEMA)
 
 
+def extract_checked(files: DataFrame) -> DataFrame:
+    """S6 with S5's verdict: text that is blank or not readable as text is an error, not a result."""
+    out = text_quality(extract_text(files), "text")
+    blank = F.col("text").isNotNull() & ~F.col("text").rlike(r"(?U)\S")
+    bad = F.col("text").isNotNull() & (F.col("mime") == "text/plain") & ~F.col("encoding_ok")
+    error = (F.coalesce("extract_error", F.when(blank, F.lit("No text content extracted")),
+                        F.when(bad, F.lit("File encoding issues"))))
+    return out.withColumn("extract_error", error).withColumn("text", F.when(error.isNull(), F.col("text"))) \
+              .select("path", "mime", "text", "extract_error")
+
+
 def text_with_quality(extracted: DataFrame) -> DataFrame:
     """S5 verdict on extracted text (plain-text branch)."""
     return text_quality(extracted.filter(F.col("text").isNotNull()), "text")

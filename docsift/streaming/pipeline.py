@@ -21,72 +21,77 @@ dropped when its key is seen again.
 
 from __future__ import annotations
 
-import re
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.documents import content_hash, long_document_fast_path
-from ..operators.matching import find_matches, pattern_confidence
+from pyspark.errors import AnalysisException
+
+from ..operators.documents import content_hash, unexpired
+from ..operators.learning import generate_expression
+from ..operators.matching import attach_patterns, find_matches, pattern_confidence
 from ..session import checkpoint_dir
-from ..sources.fixed_values import (LEARNER_BASIC_PATTERNS, LEARNER_TOO_PERMISSIVE,
-                                    PREDEFINED_FEATURE_REGEX, TTL_TASK_RESULT)
+from ..sources.fixed_values import TTL_TASK_RESULT
 
 RESULT_COLS = ["content_hash", "source_doc_id", "pattern_count", "pattern_confidence",
-               "doc_class", "status", "error", "batch_id", "processed_at", "expires_at"]
+               "status", "error", "batch_id", "processed_at", "expires_at"]
 
 
 def results_schema() -> T.StructType:
     return T.StructType([
         T.StructField("content_hash", T.StringType()), T.StructField("source_doc_id", T.LongType()),
         T.StructField("pattern_count", T.LongType()), T.StructField("pattern_confidence", T.DoubleType()),
-        T.StructField("doc_class", T.StringType()), T.StructField("status", T.StringType()),
+        T.StructField("status", T.StringType()),
         T.StructField("error", T.StringType()), T.StructField("batch_id", T.LongType()),
         T.StructField("processed_at", T.TimestampType()), T.StructField("expires_at", T.TimestampType())])
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table so far; empty only if its folder doesn't exist yet."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - first batch: nothing written yet
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
-def process_batch(batch: DataFrame, batch_id: int, patterns_by_industry: DataFrame, out_dir: str,
-                  ttl_seconds: int = TTL_TASK_RESULT) -> None:
-    """One micro-batch of R1 (also usable on a static DataFrame)."""
+def process_batch(batch: DataFrame, batch_id: int, patterns: DataFrame, out_dir: str,
+                  ttl_seconds: int = TTL_TASK_RESULT, industry: str | None = None) -> None:
+    """One micro-batch of R1 (also usable on a static DataFrame).
+
+    A document's own ``industry`` decides its patterns; ``industry`` is that of a stream whose
+    documents have none.  Contents with a result that hasn't expired are not processed again
+    (J11); a blank or missing text fails (F8)."""
     spark = batch.sparkSession
-    docs = batch.select("doc_id", "text", content_hash(F.col("text")).alias("content_hash"))
+    own = F.col("industry") if "industry" in batch.columns else F.lit(None).cast("string")
+    docs = batch.select("doc_id", "text", F.coalesce(own, F.lit(industry)).alias("industry"),
+                        content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"))
     # every document's hash (document map), written per batch id -> replay-safe
     (docs.select("doc_id", "content_hash", F.lit(batch_id).cast("bigint").alias("batch_id"))
          .write.mode("overwrite").parquet(f"{out_dir}/doc_map/batch_id={batch_id}"))
-    # Only contents with no result yet (results written by other batches)
-    done = _read_or_empty(spark, f"{out_dir}/results", results_schema()).filter(
-        F.col("batch_id") != batch_id).select("content_hash")
-    fresh = (docs.groupBy("content_hash").agg(F.min("doc_id").alias("source_doc_id"))
-                 .join(done, "content_hash", "left_anti"))
-    work = fresh.join(docs.select("content_hash", "text").dropDuplicates(["content_hash"]), "content_hash")
-    work = work.withColumn("industry", F.lit("contact")).join(F.broadcast(patterns_by_industry), "industry", "left")
-    work = work.withColumn("patterns", F.coalesce("patterns", F.array().cast(
-        patterns_by_industry.schema["patterns"].dataType))).withColumnRenamed("source_doc_id", "doc_id")
-    scored = pattern_confidence(find_matches(work, fuzzy=False))
-    fast = long_document_fast_path(scored.select("content_hash", "text"))
-    res = (scored.join(fast.select("content_hash", "doc_class"), "content_hash", "left")
-                 .select("content_hash", F.col("doc_id").alias("source_doc_id"), "pattern_count",
-                         "pattern_confidence", "doc_class",
-                         F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error"),
-                         F.lit(batch_id).cast("bigint").alias("batch_id"),
-                         F.current_timestamp().alias("processed_at"),
-                         (F.current_timestamp() + F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")).alias("expires_at")))
+    results = _read_or_empty(spark, f"{out_dir}/results", results_schema())
+    done = (results.filter((F.col("batch_id") != batch_id) & unexpired(F.col("expires_at"), F.current_timestamp()))
+            .select("content_hash").distinct())
+    fresh = (docs.groupBy("content_hash")
+             .agg(F.min_by(F.struct("doc_id", "text", "industry"), F.col("doc_id")).alias("d"))
+             .join(done, "content_hash", "left_anti").select("content_hash", "d.*"))
+    scored = pattern_confidence(find_matches(attach_patterns(fresh, patterns), fuzzy=False))
+    error = F.when(F.col("text").isNull() | ~F.col("text").rlike(r"(?U)\S"), F.lit("No content provided"))
+    res = scored.select("content_hash", F.col("doc_id").alias("source_doc_id"), "pattern_count",
+                        "pattern_confidence", F.when(error.isNull(), F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
+                        error.alias("error"), F.lit(batch_id).cast("bigint").alias("batch_id"),
+                        F.current_timestamp().alias("processed_at"),
+                        (F.current_timestamp() + F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")).alias("expires_at"))
     res.write.mode("overwrite").parquet(f"{out_dir}/results/batch_id={batch_id}")
 
 
-def process_stream(stream: DataFrame, patterns_by_industry: DataFrame, out_dir: str,
-                   checkpoint: str, available_now: bool = True):
+def process_stream(stream: DataFrame, patterns: DataFrame, out_dir: str,
+                   checkpoint: str, available_now: bool = True, industry: str | None = None):
     """Start R1 on a streaming DataFrame (doc_id, text); returns the StreamingQuery."""
     writer = (stream.writeStream
-              .foreachBatch(lambda b, i: process_batch(b, i, patterns_by_industry, out_dir))
+              .foreachBatch(lambda b, i: process_batch(b, i, patterns, out_dir, industry=industry))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
@@ -118,36 +123,17 @@ LEARNED_SCHEMA = T.StructType([
 STATE_SCHEMA = T.StructType([
     T.StructField("occurrences", T.LongType()), T.StructField("confidence", T.DoubleType()),
     T.StructField("first_seen", T.TimestampType()), T.StructField("last_seen", T.TimestampType())])
-_PROBES = ["", " ", "a", "." * 300, None, "invalid"]
 STALE_DAYS = 30
 
 
-def generate_pattern(feature_type: str, text: str) -> str | None:
-    """H46-H48 for one mature candidate (small per-key helper inside the state function)."""
-    pre = PREDEFINED_FEATURE_REGEX.get(feature_type)
-    if pre is not None:
-        return pre if re.match(pre, text) else None
-    if len(text) < 3:
-        return None
-    expr = "^" + re.escape(text) + "$"
-    rx = re.compile(expr)
-    if not rx.match(text):
-        return None
-    if expr in LEARNER_BASIC_PATTERNS:
-        return expr
-    if expr in LEARNER_TOO_PERMISSIVE or not 3 <= len(expr) <= 200:
-        return None
-    for probe in _PROBES:
-        probe = text + "extra" if probe is None else probe
-        if probe != text and rx.match(probe):
-            return None
-    return expr
-
-
 def _fold(key, batches, state):
+    """A candidate's sightings of one micro-batch in arrival order (three numbers a row)."""
     occ, conf, first, last = state.get if state.exists else (0, None, None, None)
-    out = []
-    rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
+    out, expr, parts = [], None, []
+    for pdf in batches:
+        parts.append(pdf[["ts", "seq", "confidence"]])
+        expr = pdf["expression"].iloc[0] if len(pdf) else expr
+    rows = pd.concat(parts).sort_values(["ts", "seq"])
     ftype, text = key
     for ts, x in zip(rows["ts"], rows["confidence"]):
         if occ > 0 and (ts - last).days > STALE_DAYS:     # H50: idle candidate dropped
@@ -156,11 +142,10 @@ def _fold(key, batches, state):
             occ, conf, first, last = 1, float(x), ts, ts
         else:
             occ, last, conf = occ + 1, ts, conf * 0.7 + float(x) * 0.3
-        if occ >= 3 and conf >= 0.8:
-            expr = generate_pattern(ftype, text)
-            if expr is not None:
-                out.append((ftype, text, expr, occ, conf, first, last))
-                occ, conf, first, last = 0, None, None, None
+        # the batch learner's rule: maturity is judged at 9 decimals
+        if occ >= 3 and round(conf, 9) >= 0.8 and expr is not None:
+            out.append((ftype, text, expr, occ, conf, first, last))
+            occ, conf, first, last = 0, None, None, None
     if occ == 0:
         state.remove()
     else:
@@ -170,8 +155,10 @@ def _fold(key, batches, state):
 
 
 def learner_stream(sightings: DataFrame) -> DataFrame:
-    """R3 on a (streaming or static) DataFrame of gated sightings."""
-    return (sightings.groupBy("feature_type", "text")
+    """R3 on a streaming DataFrame of gated sightings.  The pattern that a candidate would
+    give is a column (H46-H48, as in batch); a candidate without one never matures."""
+    return (sightings.withColumn("expression", generate_expression(F.col("feature_type"), F.col("text")))
+            .groupBy("feature_type", "text")
             .applyInPandasWithState(_fold, LEARNED_SCHEMA, STATE_SCHEMA, "append", "NoTimeout"))
 
 

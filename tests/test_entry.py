@@ -41,7 +41,11 @@ def _write_json(cfgs):
 def test_json_configs(spark):
     d = _write_json(INDUSTRIES)
     cfg = read_industry_json(spark, d)
-    tables = flatten_industry_json(cfg, config_tables(spark)["base_features"])
+    tables = flatten_industry_json(cfg, config_tables(spark))
+    want = config_tables(spark)
+    for name in ("industry_patterns", "industry_rules"):      # shared features bring theirs
+        assert (sorted(tuple(r) for r in tables[name].collect())
+                == sorted(tuple(r) for r in want[name].select(tables[name].columns).collect())), name
     assert {r.feature_id for r in tables["dropped_shared"].collect()} == {"bogus"}
     listing = {r.industry: r for r in industry_listing(tables).collect()}
     assert listing["financial"].required == ["amount", "date"]
