@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, html_main, language, toxicity
+from . import bpe, hnsw, html_main, language, oracles, toxicity
 from .common import bounded_batches, fold, load
 from .embed_dedup import embedding_duplicates
 from .neardup import near_duplicates
@@ -75,13 +75,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "score", "predicted"))
 
 
-@_query("op7_minhash_dedup")
+@_query("op7_minhash_dedup", oracles.MINHASH_DEDUP)
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, near-duplicates by 2-word shingles at 80 %."""
     return near_duplicates(load(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
-@_query("op10_substring_dedup")
+@_query("op10_substring_dedup", oracles.SUBSTRING_DEDUP)
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 13-word windows that a smaller document has."""
     return remove_repeats(load(spark, sf_dir, "documents"), window=13, start=7, digest=True)
@@ -94,7 +94,7 @@ def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.search(hnsw.index(vectors, 10), vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
-@_query("op5_embedding_dedup")
+@_query("op5_embedding_dedup", oracles.EMBEDDING_DEDUP)
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings, linked at a cosine of 0.95."""
     return embedding_duplicates(load(spark, sf_dir, "embeddings"), 0.95)
