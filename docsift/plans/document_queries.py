@@ -42,6 +42,24 @@ def email_phone_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(find_matches(_contact_docs(spark, sf_dir), fuzzy=False), "matches")
 
 
+# a pattern that can match the empty string, a learned phrase and a plain pattern together
+MIXED_ROWS = [("mixed.digits", 0, "regex", r"\d*", "digits", "contact"),
+              ("mixed.license", 1, "learned", "General Public License", "license", "contact"),
+              ("mixed.mail", 2, "regex", r"[a-z0-9]+@[a-z0-9]+\.[a-z]+", "mail", "contact")]
+# SQL: the matches of \d* that aren't empty are those of \d+
+_MIXED = "WITH " + scored_matches_sql(_DOCS_DUCK, None, [(*r[:3], r[3].replace("*", "+"), *r[4:]) for r in MIXED_ROWS]).lstrip()
+
+
+@register("mixed_pattern_matches", _MIXED + """
+SELECT doc_id::BIGINT AS doc_id, pattern_id, feature_type, mt AS match_text, st::BIGINT AS match_start,
+       en::BIGINT AS match_end, round(c, 6) AS confidence FROM scored""")
+def mixed_pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal, zero-width and learned patterns (H1, H3) in one set over whole documents."""
+    pats = prepare_patterns(spark.createDataFrame(MIXED_ROWS, PATTERN_SCHEMA))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("industry", F.lit("contact"))
+    return _flat(regex_matches(attach_patterns(docs, pats)), "regex_matches")
+
+
 @register("pattern_validation_metrics", _CONTACT + """,
 lab AS (SELECT d.doc_id, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 lp AS (SELECT lab.doc_id, lab.toxic, p.pattern_id,

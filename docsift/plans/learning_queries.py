@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.learning import (candidate_stats, gate_sightings, learn_patterns,
                                   stale_candidates)
-from ..sources.configs import upsert_latest
+from ..sources.configs import delete_with_cascade, newest_first, upsert_latest
 from ..sources.fixed_values import PREDEFINED_FEATURE_REGEX
 from ..sources.render import SIGHTINGS_DUCK, sightings
 from ..sources.tables import table
@@ -71,8 +71,8 @@ SELECT feature_type, text, last_seen,
 FROM stats""")
 def stale_candidates_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates not seen for more than 30 whole days before the newest event."""
-    now = table(spark, sf_dir, "events", "ts").agg(F.max("ts")).first()[0]   # one scalar
-    out = stale_candidates(_stats(spark, sf_dir), F.lit(now))
+    newest = table(spark, sf_dir, "events", "ts").agg(F.max("ts").alias("_now"))   # one row, in the same plan
+    out = stale_candidates(_stats(spark, sf_dir).crossJoin(F.broadcast(newest)), F.col("_now"))
     return out.select("feature_type", "text", "last_seen", "age_days", "stale")
 
 
@@ -89,3 +89,32 @@ def latest_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = upsert_latest(ev, ["feature_type", "key"], order_cols=["ts", "event_id"])
     return latest.select("feature_type", "key", F.col("event_id").cast("bigint").alias("version_id"),
                          "value", F.col("n_versions").cast("bigint"))
+
+
+_VERSIONS = """
+SELECT event_type AS feature_type, json_extract_string(props, '$.k') AS key, event_id, ts FROM events"""
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (table(spark, sf_dir, "events", "event_id", "ts", "event_type", "props")
+            .select(F.col("event_type").alias("feature_type"), F.get_json_object("props", "$.k").alias("key"),
+                    F.col("event_id").cast("bigint").alias("event_id"), "ts"))
+
+
+@register("pattern_history", f"""
+SELECT *, row_number() OVER (PARTITION BY feature_type, key ORDER BY ts DESC, event_id DESC)::BIGINT AS seq
+FROM ({_VERSIONS})""")
+def pattern_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored version of a pattern, numbered newest first."""
+    return newest_first(_versions(spark, sf_dir), ["feature_type", "key"], ["ts", "event_id"])
+
+
+@register("pattern_delete_cascade", f"""
+WITH v AS ({_VERSIONS}), gone AS (SELECT DISTINCT key FROM v WHERE event_id % 997 = 0)
+SELECT feature_type, key, event_id FROM v WHERE key IS NULL OR key NOT IN (SELECT key FROM gone WHERE key IS NOT NULL)""")
+def pattern_delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns deleted by key, and every version of them with them."""
+    v = _versions(spark, sf_dir)
+    gone = v.filter("event_id % 997 = 0 AND key IS NOT NULL").select("key").distinct()
+    _, (versions,) = delete_with_cascade(v.select("key").distinct(), [v], gone, "key")
+    return versions.select("feature_type", "key", "event_id")

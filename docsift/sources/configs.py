@@ -14,7 +14,7 @@ of small flat tables that jobs broadcast-join:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,6 +204,13 @@ def upsert_latest(df: DataFrame, keys: list[str], order_cols: list[str] | None =
               .select(*keys, "_latest.*", "n_versions"))
 
 
+def newest_first(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:
+    """All versions of each key with ``seq``, 1 for the newest.  One key's versions are
+    numbered together; to list only the newest, use ``upsert_latest``."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order_cols])
+    return df.withColumn("seq", F.row_number().over(w).cast("bigint"))
+
+
 def delete_with_cascade(parent: DataFrame, children: list[DataFrame], deleted: DataFrame,
                         key: str = "pattern_id") -> tuple[DataFrame, list[DataFrame]]:
     """delete = anti join on the key, cascaded to child tables."""
