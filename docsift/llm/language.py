@@ -26,8 +26,9 @@ from .sampling import bounded_sample
 BITS, DIM, ORDERS = 15, 16, (3, 4)
 #: Training documents of each language at most (about), passes over them, learning rate.
 PER_LANGUAGE, EPOCHS, RATE = 600, 4, 2.0
-#: Share of right predictions on the held-back part whose scores fall under the rejection score.
-REJECTED = 0.001
+#: Share of right predictions on the held-back part whose scores fall under the rejection score, which is
+#: never above EVEN (a language that is likelier than all others together is not rejected).
+REJECTED, EVEN = 0.001, 0.5
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 20
 
@@ -114,7 +115,7 @@ def fit(rows: pd.DataFrame) -> dict:
     p = probabilities(t)
     right = p.max(axis=1)[p.argmax(axis=1) == y[check]]
     return {"langs": langs, "table": table.astype(np.float32), "temperature": float(t),
-            "reject": float(np.quantile(right, REJECTED)) if len(right) else 0.0}
+            "reject": min(EVEN, float(np.quantile(right, REJECTED))) if len(right) else 0.0}
 
 
 def train(labelled: DataFrame) -> dict:
