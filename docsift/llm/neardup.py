@@ -12,13 +12,16 @@ probability that follows their similarity.
    exact sizes; pairs far under the threshold go.
 4. The others are confirmed on the full sets, which are made again from the texts: a pivot's
    set, then its partners' in a sorted stream, a bounded number of partners to a group.
-5. Buckets whose members are not all connected by then give all their other pairs, in blocks,
-   to the same estimate and confirmation, so that no pair of a bucket is left out.
+5. In buckets whose members are not all connected by then, all other pairs are compared too, in
+   blocks of members: first by sketches, which only mark the members that have a likely partner,
+   then, for those, by the exact intersections of a block's sets.  A pair counts in the first
+   bucket it shares.  So no pair of a bucket is left out, and what leaves a block is at most one
+   link for each member, however many of its pairs are near the threshold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,15 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, save_table, shingle_hashes, split_words, texts_of
-from .components import components
+from .components import components, roots
 
 B = 1.1
 BAND_ROWS, BANDS = 6, 32
 REGISTERS = BAND_ROWS * BANDS
 #: Estimates may miss the similarity by this much (over five standard errors at 0.8).
 MARGIN = 0.15
-#: Partners of a pivot in one sorted group; members of a block of a bucket.
-GROUP, BLOCK = 500, 1000
+#: Partners of a pivot in one sorted group; members of a block of a bucket; shingles of a block that
+#: are counted at once.
+GROUP, BLOCK, COLUMNS = 500, 500, 4096
 
 _LOWER = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
 _RNG = np.random.default_rng(20)
@@ -139,43 +143,93 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     pivots = groups.select(F.col("g").alias("x"), F.col("g").alias("y"),
                            F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / GROUP).cast("int") - 1)).alias("salt"),
                            F.lit(0).alias("part"))
-    rows = (partners.unionByName(pivots).join(docs, F.col("x") == F.col("doc_id"))
+    # the texts are dealt by id at every size: what is wanted of them grows with them
+    rows = (partners.unionByName(pivots).hint("merge").join(docs, F.col("x") == F.col("doc_id"))
             .select("y", "salt", "part", "x", "text")
             .repartition("y", "salt").sortWithinPartitions("y", "salt", "part"))
     return rows.mapInArrow(lambda b: _confirmed(b, k, percent), "a long, b long")
 
 
-def _cross(frames: Iterator[pd.DataFrame], least: float, percent: int) -> Iterator[pd.DataFrame]:
-    """Likely pairs of unconnected members of blocks of a bucket; rows sorted by key, i, j."""
-    def pairs(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop_duplicates(["x", "block", "n"])
-        i, j = g["i"].iloc[0], g["j"].iloc[0]
-        left, right = g[g["block"] == i], g[g["block"] == j]
-        out = []
-        n, comp, s = right["n"].to_numpy(), right["component"].to_numpy(), _matrix(right["sketch"]) if len(right) else None
-        for x, c, nx, sk in zip(left["x"], left["component"], left["n"], left["sketch"]):
-            ok = (comp != c) & (100 * np.minimum(n, nx) >= percent * np.maximum(n, nx))
-            if i == j:
-                ok &= right["x"].to_numpy() < x
-            at = np.flatnonzero(ok)
-            if len(at):
-                mine = np.broadcast_to(np.frombuffer(sk, np.uint8), (len(at), REGISTERS))
-                at = at[estimate(mine, s[at], np.full(len(at), float(nx)), n[at].astype(float)) >= least]
-                out.append(pd.DataFrame({"x": x, "y": right["x"].to_numpy()[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"x": [], "y": []})
-
+def _by_group(frames: Iterator[pd.DataFrame], keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``work`` on each group of rows that are sorted by ``keys``."""
     held: pd.DataFrame | None = None
     for pdf in frames:
-        pdf = pdf if held is None else pd.concat([held, pdf])
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
         if not len(pdf):
             continue
-        last = tuple(pdf[["key", "i", "j"]].iloc[-1])
-        tail = (pdf["key"] == last[0]) & (pdf["i"] == last[1]) & (pdf["j"] == last[2])
+        tail = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1)
         held = pdf[tail]
-        for _, g in pdf[~tail].groupby(["key", "i", "j"], sort=False):
-            yield pairs(g)
+        for _, group in pdf[~tail].groupby(keys, sort=False):
+            yield work(group)
     if held is not None and len(held):
-        yield pairs(held)
+        yield work(held)
+
+
+PLACE = ["key", "i", "j"]
+
+
+def _marked(frames: Iterator[pd.DataFrame], least: float, percent: int) -> Iterator[pd.DataFrame]:
+    """Members of a pair of blocks with a likely partner in another component."""
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        i, j, band = g["i"].iloc[0], g["j"].iloc[0], g["band"].iloc[0]
+        left, right = g[g["block"] == i], g[g["block"] == j]
+        marks = np.zeros(len(g), bool)
+        at_left, at_right = np.flatnonzero(g["block"] == i), np.flatnonzero(g["block"] == j)
+        if len(left) and len(right):
+            n, comp, s, ids = right["n"].to_numpy(), right["component"].to_numpy(), _matrix(right["sketch"]), right["x"].to_numpy()
+            for row, (x, c, nx, sk) in enumerate(zip(left["x"], left["component"], left["n"], left["sketch"])):
+                ok = (comp != c) & (100 * np.minimum(n, nx) >= percent * np.maximum(n, nx))
+                if i == j:
+                    ok &= ids < x
+                at = np.flatnonzero(ok)
+                if not len(at):
+                    continue
+                mine = np.frombuffer(sk, np.uint8)
+                same = s[at] == mine
+                close = same.mean(axis=1) >= least - 0.1  # well under any estimate that counts
+                at, same = at[close], same[close]
+                first = same.reshape(-1, BANDS, BAND_ROWS).all(axis=2).argmax(axis=1) == band
+                at = at[first]
+                if len(at):
+                    size = np.full(len(at), float(nx))
+                    at = at[estimate(np.broadcast_to(mine, (len(at), REGISTERS)), s[at], size, n[at].astype(float)) >= least]
+                if len(at):
+                    marks[at_left[row]] = True
+                    marks[at_right[at]] = True
+        return g.loc[marks, [*PLACE, "block", "x", "component"]]
+
+    yield from _by_group(frames, PLACE, work)
+
+
+def _linked(frames: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[pd.DataFrame]:
+    """Links between components in a pair of blocks, by exact intersections; at most one a member."""
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingle_set((t or "").encode(), k) for t in g["text"]]
+        sizes = np.array([len(s) for s in sets])
+        rows = np.repeat(np.arange(len(g)), sizes)
+        _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = seen > 1  # a shingle of one member is in no intersection
+        number = np.cumsum(shared) - 1
+        keep = shared[column]
+        rows, column = rows[keep], number[column[keep]]
+        order = np.argsort(column, kind="stable")
+        rows, column = rows[order], column[order]
+        left = np.flatnonzero(g["block"] == g["i"].iloc[0])
+        right = np.flatnonzero(g["block"] == g["j"].iloc[0])
+        both = np.zeros((len(left), len(right)), np.float32)
+        for start in range(0, int(shared.sum()), COLUMNS):
+            low, high = np.searchsorted(column, [start, start + COLUMNS])
+            m = np.zeros((len(g), COLUMNS), np.float32)
+            m[rows[low:high], column[low:high] - start] = 1
+            both += m[left] @ m[right].T
+        union = sizes[left][:, None] + sizes[right][None] - both
+        comp, ids = g["component"].to_numpy(), g["x"].to_numpy()
+        found = (both > 0) & (100 * both >= percent * union) & (comp[left][:, None] != comp[right][None])
+        a, b = np.nonzero(found)
+        nodes, low = roots(ids[left[a]], ids[right[b]])
+        return pd.DataFrame({"a": nodes, "b": low})[nodes != low]
+
+    yield from _by_group(frames, PLACE, work)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -195,13 +249,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                .agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")))
     classes = save_table(classes, "neardup-classes")
 
-    bands = save_table(classes.select("id", F.explode(F.transform(
+    bands = save_table(classes.select("id", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * BAND_ROWS + 1, F.lit(BAND_ROWS))))).alias("key")),
+        lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * BAND_ROWS + 1, F.lit(BAND_ROWS))))).alias("band", "key")),
         "neardup-bands")
     buckets = bands.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("rows"))
     shared = buckets.where(F.col("low") < F.col("high")).select(F.col("key").alias("k"), "low", "rows")
-    members = save_table(bands.join(shared, F.col("key") == F.col("k")).select("key", "id", "low", "rows"),
+    members = save_table(bands.join(shared, F.col("key") == F.col("k")).select("key", "band", "id", "low", "rows"),
                          "neardup-members")
 
     least = percent / 100 - MARGIN
@@ -216,22 +270,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     # buckets that are not yet one component: the rest of their pairs
     placed = (members.join(found, F.col("id") == F.col("node"), "left")
-              .select("key", "id", "rows", F.coalesce("component", "id").alias("component")))
+              .select("key", "band", "id", "rows", F.coalesce("component", "id").alias("component")))
     mixed = (placed.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("a"), F.max("component").alias("b"))
              .where(F.col("a") < F.col("b")).select("k"))
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    opened = (placed.join(mixed, F.col("key") == F.col("k")).select("key", "id", "component", "rows", block.alias("block"))
+    opened = (placed.join(mixed, F.col("key") == F.col("k")).select("key", "band", "id", "component", "rows", block.alias("block"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
               .join(classes.select(F.col("id").alias("x"), F.col("n_shingles").alias("n"), "sketch"), F.col("id") == F.col("x"))
               .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                      "block", "x", "component", "n", "sketch")
-              .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
-    more = opened.mapInPandas(lambda it: _cross(it, least, percent), "x long, y long").distinct()
-    tried = likely.select(F.col("x").alias("tx"), F.col("y").alias("ty"))
-    more = more.join(tried, (F.least("x", "y") == F.least("tx", "ty")) & (F.greatest("x", "y") == F.greatest("tx", "ty")), "left_anti")
-    more = save_table(more, "neardup-more")
-    second = confirm(more, source, shingle, percent)
+                      "band", "block", "x", "component", "n", "sketch")
+              .repartition(*PLACE).sortWithinPartitions(*PLACE))
+    marked = save_table(opened.mapInPandas(lambda it: _marked(it, least, percent),
+                                           "key long, i int, j int, block int, x long, component long"), "neardup-marked")
+    held = (source.join(marked.hint("merge"), F.col("doc_id") == F.col("x")).select(*PLACE, "block", "x", "component", "text")
+            .repartition(*PLACE).sortWithinPartitions(*PLACE))
+    second = held.mapInPandas(lambda it: _linked(it, shingle, percent), "a long, b long")
     found = components(save_table(links.unionByName(second), "neardup-links"), "neardup-components")
 
     named = (classes.join(found, F.col("id") == F.col("node"), "left")
