@@ -35,7 +35,7 @@ def _kept(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model marks go; it learns from the labels of the others' folds."""
     _begin(spark)
-    model = toxicity.train(toxicity.labelled_toxic(docs, load(spark, sf_dir, "labels")))
+    model = toxicity.train(docs, toxicity.known_labels(load(spark, sf_dir, "labels")))
     return _kept(docs, toxicity.score(docs, model).where(F.col("predicted") == 1))
 
 

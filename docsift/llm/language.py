@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .sampling import bounded_sample
 
 BITS, DIM, ORDERS = 15, 16, (3, 4)
-#: Training documents of each language at most (about), passes over them, learning rate.
-PER_LANGUAGE, EPOCHS, RATE = 600, 4, 2.0
+#: Training documents of each language and of all languages at most (about), passes over them, learning rate.
+PER_LANGUAGE, ALL_LANGUAGES, EPOCHS, RATE = 600, 20_000, 4, 2.0
 #: Share of right predictions on the held-back part whose scores fall under the rejection score, which is
 #: never above EVEN (a language that is likelier than all others together is not rejected).
 REJECTED, EVEN = 0.001, 0.5
@@ -121,9 +121,12 @@ def fit(rows: pd.DataFrame) -> dict:
 def train(labelled: DataFrame) -> dict:
     """The model for rows of doc_id, text, lang.  Rows without a lang don't count; without
     any labelled text the model knows no language and every prediction is ``und``."""
-    sample = bounded_sample(labelled.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text"),
-                            "lang", PER_LANGUAGE)
-    features = sample.select("lang", "draw", "text").mapInArrow(
+    rows = labelled.select("doc_id", "lang", "text").where(F.col("lang").isNotNull())
+    sample = (bounded_sample(rows.select("doc_id", "lang"), "lang", PER_LANGUAGE, ALL_LANGUAGES)
+              .select(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang"), "draw").distinct())
+    # the sample's size is bounded: its ids go to the texts
+    drawn = rows.join(F.broadcast(sample), (F.col("doc_id") == F.col("s_id")) & (F.col("lang") == F.col("s_lang")))
+    features = drawn.select("lang", "draw", "text").mapInArrow(
         _features, "lang string, draw long, idx array<int>, cnt array<long>")
     model = (features.groupBy().applyInPandas(
         lambda rows: pd.DataFrame({"model": [pickle.dumps(fit(rows))]}), "model binary")).collect()

@@ -16,7 +16,6 @@ from .neardup import near_duplicates
 from .packing import pack
 from .repeats import remove_repeats
 from .sharding import kd_shards
-from .toxicity import labelled_toxic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,7 +68,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned from the folds other than 2."""
     docs = load(spark, sf_dir, "documents")
-    model = toxicity.train(labelled_toxic(docs, load(spark, sf_dir, "labels")))
+    model = toxicity.train(docs, toxicity.known_labels(load(spark, sf_dir, "labels")))
     return (toxicity.score(docs, model)
             .select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"),
                     "score", "predicted"))

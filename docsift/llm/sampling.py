@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 SPREAD = 1 << 30
 
 
-def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int) -> DataFrame:
-    """About ``per_stratum`` rows of each value of ``stratum`` (all, if fewer), by a hash of
-    doc_id: the same rows whatever the partitions.  Adds ``draw``, the hash."""
+def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int, total: int) -> DataFrame:
+    """About ``per_stratum`` rows of each value of ``stratum`` (all, if fewer), and about ``total``
+    at most, by a hash of doc_id: the same rows whatever the partitions.  ``rows`` holds ids and
+    strata only; adds ``draw``, the hash.  The size is bounded, so the sample may be broadcast."""
     counts = rows.groupBy(F.col(stratum).alias("s_value")).agg(F.count("*").alias("s_rows"))
+    each = min(per_stratum, total / max(1, counts.count()))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(SPREAD))
     return (rows.join(counts, F.col(stratum) == F.col("s_value"))
             .withColumn("draw", draw)
-            .where(F.col("draw") * F.col("s_rows") / SPREAD < per_stratum)
+            .where(F.col("draw") * F.col("s_rows") / SPREAD < each)
             .drop("s_value", "s_rows"))

@@ -79,28 +79,28 @@ def fit(rows: pd.DataFrame) -> dict:
     return {"idx": at.astype(np.int32), "weight": w[at], "bias": float(w[-1])}
 
 
-def labelled_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, label`` of the documents that may be learned from (folds other than 2)."""
-    known = (labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 2))
-             .groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("label")))
-    return (docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("l_id"))
-            .select("doc_id", "text", "label"))
+def known_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, label`` (0 or 1) of the documents that may be learned from: folds other than 2."""
+    return (labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 2))
+            .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")))
 
 
-def train(labelled: DataFrame) -> dict:
-    """The model for rows of doc_id, text, label (0 or 1; others and null don't count).
+def train(docs: DataFrame, known: DataFrame) -> dict:
+    """The model from the texts of ``docs`` (doc_id, text) and the labels of ``known``.
 
     Labels are drawn at different rates; a row's weight undoes that, up to a factor, so
-    that scores are probabilities under the labels' own shares.  Without any labelled row
+    that scores are probabilities under the labels' own shares.  Without any labelled text
     the model is empty and every score is 0.5.
     """
-    rows = labelled.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"), "text")
-    sample = bounded_sample(rows, "label", PER_LABEL)
-    shares = rows.groupBy(F.col("label").alias("w_label")).agg(F.count("*").alias("n"))
+    shares = known.groupBy(F.col("label").alias("w_label")).agg(F.count("*").alias("n"))
     most = shares.agg(F.sum(F.least(F.col("n"), F.lit(PER_LABEL))).alias("drawn"), F.sum("n").alias("all"))
     shares = shares.crossJoin(most).select(  # one row for each label, times one row
         "w_label", (F.greatest(F.col("n") / PER_LABEL, F.lit(1.0)) * F.col("drawn") / F.col("all")).alias("weight"))
-    features = (sample.join(shares, F.col("label") == F.col("w_label")).select("label", "weight", "draw", "text")
+    sample = (bounded_sample(known, "label", PER_LABEL, 2 * PER_LABEL).join(shares, F.col("label") == F.col("w_label"))
+              .select(F.col("doc_id").alias("s_id"), "label", "weight", "draw"))
+    # the sample's size is bounded: its ids go to the texts
+    drawn = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("s_id"))
+    features = (drawn.select("label", "weight", "draw", "text")
                 .mapInArrow(_features, "label int, weight double, draw long, idx array<int>"))
     model = (features.groupBy().applyInPandas(
         lambda r: pd.DataFrame({"model": [pickle.dumps(fit(r))]}), "model binary")).collect()

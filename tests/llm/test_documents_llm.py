@@ -193,15 +193,15 @@ def test_toxicity(spark, empty):
     labels += [(500, 1, 1), (1, 0, None), (0, 1, 1)]  # no such document; no label; a repeated row
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     docs = docs_df(spark, rows)
-    known = toxicity.labelled_toxic(docs, table)
+    known = toxicity.known_labels(table)
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in known.select("doc_id").collect())
-    model = toxicity.train(known)
+    model = toxicity.train(docs, known)
     assert len(model["idx"]) < 2000  # sparse
     got = toxicity.score(docs_df(spark, rows + [row(600, None), row(601, ""), row(None, "x vile")]), model).collect()
     held = [r for r in got if r.doc_id is not None and r.doc_id < 400 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held) >= 0.95 * len(held)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got) and len(got) == 403
-    nothing = toxicity.train(toxicity.labelled_toxic(empty, table))
+    nothing = toxicity.train(empty, known)
     assert toxicity.score(empty, nothing).collect() == []
     assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.5}
 
