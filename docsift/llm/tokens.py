@@ -1,39 +1,47 @@
 """Token ids by a given tokenizer file, piece by piece.
 
-A byte-level tokenizer splits a text by a pattern and encodes every match for itself,
-so each distinct match is encoded once and remembered (a bounded number of them).
+A byte-level tokenizer splits a text by a pattern and encodes every match for itself, so
+each distinct match goes through the library's model once and is remembered (a bounded
+number of them).
 """
 
 from __future__ import annotations
 
+import struct
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
+#: The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 characters for
+#: themselves, the other bytes, in order, from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_CHARS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
 
 class PieceIds(dict):
-    """A match of the split pattern to its ids as little-endian unsigned 32-bit bytes."""
+    """A match of the split pattern to its ids as little-endian unsigned 32-bit bytes.
+
+    Strings of special tokens in a text are ordinary text."""
 
     LIMIT = 500_000
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model.tokenize
         self.split = regex.compile(public_tokenizers.PATTERN).findall
 
-    def ids(self, text: str) -> bytes:
-        pieces = self.split(text)
-        new = [p for p in set(pieces) if p not in self]
-        if len(self) + len(new) > self.LIMIT:
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.LIMIT:
             self.clear()
-            new = list(set(pieces))
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self[p] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, pieces))
+        ids = [t.id for t in self.model(piece.encode().decode("latin-1").translate(_CHARS))]
+        found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.split(text)))
 
 
 @lru_cache(maxsize=2)
