@@ -106,6 +106,8 @@ class _Chunk:
         """Starts of the windows of ``longer`` words, and the least hash of the windows of
         ``length`` words in each."""
         at = np.flatnonzero(self.valid(longer))
+        if not len(at):  # too few words, maybe, for the minima below
+            return at, np.empty(0, np.uint64)
         m = shingle_hashes(self.words, length)
         span, have = longer - length + 1, 1
         while have < span:

@@ -323,5 +323,19 @@ def test_repeats_keep_columns_and_white_space(docs, rows, empty):
     assert remove_repeats(empty, 13, 7).collect() == []
 
 
+@pytest.mark.parametrize("start", [25, 13])
+def test_repeats_in_chunks_of_few_words(spark, start):
+    """Every row a chunk of its own, of every number of words around the window's."""
+    import random
+    rng = random.Random(12)
+    base = sentence(rng, 60, 10_000).split()
+    rows = [row(n, " ".join(base[:n])) for n in range(61)] + [row(100 + n, sentence(rng, n, 10_000)) for n in range(61)]
+    table = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), docs_df(spark, []).schema)
+    got = remove_repeats(table, 50, start, digest=True).collect()
+    want = _brute_repeats(rows, 50)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
+    assert sum(k[2] for k in want) == sum(range(50, 60))  # 51 to 60 words: the words a shorter row's windows cover
+
+
 def test_levels_double():
     assert levels_from(7, 13) == [7, 13] and levels_from(13, 50) == [13, 26, 50] and levels_from(20, 13) == [13]
