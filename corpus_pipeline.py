@@ -26,31 +26,46 @@ def _begin(spark: SparkSession) -> None:
     bounded_batches(spark)
 
 
-def _kept(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not in ``gone`` (rows without an id stay)."""
-    gone = gone.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model marks go; it learns from the labels of the others' folds."""
+    """Documents that the toxicity model marks go; it learns from the labels of the others' folds.
+    Every row is judged by its own text, also without a doc_id or when others share it."""
     _begin(spark)
     model = toxicity.train(docs, toxicity.known_labels(load(spark, sf_dir, "labels")))
-    return _kept(docs, toxicity.score(docs, model).where(F.col("predicted") == 1))
+    return toxicity.drop_predicted(docs, model)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model rejects go: no letters, or a score that hardly any
-    rightly predicted text has."""
+    rightly predicted text has.  Every row is judged by its own text, whatever its doc_id."""
     _begin(spark)
     model = language.train(docs.where(fold(F.col("doc_id")) != 2))
-    return _kept(docs, language.predict(docs, model).where(F.col("rejected")))
+    return language.drop_rejected(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles, similarity 0.8) the smallest doc_id stays."""
+    """Of each group of near-duplicates (5-word shingles, similarity 0.8) the smallest doc_id stays.
+
+    Texts are grouped, not ids: of an id that several texts share, each text is judged for
+    itself, and those of a group's smallest id all stay.  Rows without a doc_id stay and let
+    no other go."""
     _begin(spark)
-    return _kept(docs, near_duplicates(docs, shingle=5, percent=80).where(~F.col("kept")))
+    text = F.coalesce("text", F.lit(""))
+    several = (docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
+               .agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b")).where(F.col("a") != F.col("b")))
+    if several.isEmpty():  # an id is a text
+        gone = near_duplicates(docs, shingle=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("g_id")).distinct()
+        return docs.join(gone, F.col("doc_id") == F.col("g_id"), "left_anti")
+    # a number for each (id, text), ascending with the id
+    digest = F.sha2(text, 256)
+    each = (docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("k_id"), digest.alias("k_text"))
+            .agg(F.any_value("text").alias("text")).repartitionByRange("k_id", "k_text").sortWithinPartitions("k_id", "k_text"))
+    numbered = save_table(each.withColumn("doc_id", F.monotonically_increasing_id()), "stage-numbered")
+    keys = numbered.select("k_id", "k_text", F.col("doc_id").alias("k_number"))
+    found = near_duplicates(numbered, shingle=5, percent=80).where(~F.col("kept")).select("doc_id", "component_id")
+    lowest = numbered.select(F.col("doc_id").alias("l_number"), F.col("k_id").alias("l_id"))
+    gone = (found.join(keys, F.col("doc_id") == F.col("k_number")).join(lowest, F.col("component_id") == F.col("l_number"))
+            .where(F.col("k_id") != F.col("l_id")).select("k_id", "k_text"))
+    return docs.join(gone, (F.col("doc_id") == F.col("k_id")) & (digest == F.col("k_text")), "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,11 +133,12 @@ def train(labelled: DataFrame) -> dict:
     return pickle.loads(model[0].model) if model else fit(pd.DataFrame({"lang": [], "draw": [], "idx": [], "cnt": []}))
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
+def _with_languages(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[tuple[pa.RecordBatch, list, list, list]]:
+    """Each batch with its texts' languages, scores and whether they are rejected."""
     langs, table, temperature = model["langs"], model["table"], model["temperature"]
     for batch in batches:
         found, scores = [], []
-        for value in batch.column(1):
+        for value in batch.column(batch.schema.get_field_index("text")):
             text = value.as_py() or ""
             lang, score = "und", 0.0
             if langs and _LETTER.search(text):
@@ -151,12 +152,21 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Re
                 lang, score = langs[int(p.argmax())], float(p.max())
             found.append(lang)
             scores.append(score)
+        yield batch, found, scores, [x == "und" or s < model["reject"] for x, s in zip(found, scores)]
+
+
+def _predicted(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
+    for batch, found, scores, rejected in _with_languages(batches, model):
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64()),
-             pa.array([x == "und" or s < model["reject"] for x, s in zip(found, scores)], pa.bool_())],
+            [batch.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
             names=["doc_id", "lang_pred", "score", "rejected"])
 
 
+def _passed(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
+    for batch, _, _, rejected in _with_languages(batches, model):
+        yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` for every whole text.
 
@@ -166,3 +176,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
             .mapInArrow(lambda b: _predicted(b, model),
                         "doc_id long, lang_pred string, score double, rejected boolean"))
+
+
+def drop_rejected(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs``, all columns, whose own text isn't rejected, whatever their ids."""
+    return docs.mapInArrow(lambda b: _passed(b, model), docs.schema)

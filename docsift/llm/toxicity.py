@@ -25,6 +25,8 @@ BITS = 20
 #: Labelled documents of each label in the sample at most (about), passes over them.
 PER_LABEL, EPOCHS = 4000, 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.5, 0.02
+#: A text is predicted toxic from this score on.
+THRESHOLD = 0.3
 
 _PART = bytes((b | 0x20 if 0x41 <= b <= 0x5A else b) if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 _PAIR, _SKIP = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
@@ -107,7 +109,7 @@ def train(docs: DataFrame, known: DataFrame) -> dict:
     return pickle.loads(model[0].model) if model else {"idx": np.empty(0, np.int32), "weight": np.empty(0), "bias": 0.0}
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: dict, threshold: float) -> Iterator[pa.RecordBatch]:
+def _with_scores(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[tuple[pa.RecordBatch, list[float]]]:
     words, table = WordHash(), np.zeros(1 << BITS)
     table[model["idx"]] = model["weight"]
     for batch in batches:
@@ -116,12 +118,22 @@ def _scored(batches: Iterator[pa.RecordBatch], model: dict, threshold: float) ->
             b = _buckets(text, words)
             b = np.unique(b[table[b] != 0])
             scores.append(float(1 / (1 + np.exp(-np.clip(model["bias"] + table[b].sum(), -30, 30)))))
+        yield batch, scores
+
+
+def _scored(batches: Iterator[pa.RecordBatch], model: dict, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch, scores in _with_scores(batches, model):
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
             names=["doc_id", "score", "predicted"])
 
 
-def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
+def _passed(batches: Iterator[pa.RecordBatch], model: dict, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch, scores in _with_scores(batches, model):
+        yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+
+def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, score, predicted`` for every whole text; a null or empty text gets the bias.
 
     Null and repeated doc_ids are kept, one row for each input row; other columns are
@@ -129,3 +141,8 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
     """
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
             .mapInArrow(lambda b: _scored(b, model, threshold), "doc_id long, score double, predicted int"))
+
+
+def drop_predicted(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose own text scores under ``threshold``, whatever their ids."""
+    return docs.mapInArrow(lambda b: _passed(b, model, threshold), docs.schema)
