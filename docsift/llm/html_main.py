@@ -43,6 +43,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "th": {"td", "th"}, "option": {"option"}}
 #: For labels: what marks an article, and what never belongs to one.
 MAIN = {"article", "main", "articlebody"}
+#: Every page that marks its article matches this (Spark's regex); others may.
+MARKED = "(?i)article|main"
 BOILER = set("""nav header footer aside form menu sidebar comment comments ad ads advert advertisement banner cookie
 notice promo related share social breadcrumb breadcrumbs newsletter subscribe navbar navigation topbar masthead
 toolbar widget consent popup sponsor sponsored reply replies disqus respond complementary contentinfo copyright
@@ -281,14 +283,30 @@ def main_text(page: str, model: dict) -> str:
     return "\n\n".join(b.text for b, y in zip(found, decode(features(found), model)) if y)
 
 
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [blocks(x.as_py()) for x in batch.column(1)]
+        yield batch.filter(pa.array([bool(b) and silver(b) is not None for b in found], pa.bool_()))
+
+
+def labelled_sample(pages: DataFrame) -> DataFrame:
+    """``draw, html`` of about PAGES pages that mark their article (of all, if there are fewer),
+    by a hash of the id: more pages are drawn until so many of the drawn ones do."""
+    rows = pages.where(F.col("html").rlike(MARKED)).select("page_id", "html")
+    share, draw = PAGES / max(1, rows.count()), F.pmod(F.xxhash64("page_id", F.lit(23)), F.lit(SPREAD))
+    while True:
+        sample = (rows.select(draw.alias("draw"), "html").where(F.col("draw") < share * SPREAD)
+                  .mapInArrow(_labelled, "draw long, html string"))
+        found = sample.count() if share < 1 else PAGES
+        if found >= 0.75 * PAGES:
+            return sample
+        share *= PAGES / found if found > PAGES / 10 else 8
+
+
 def train(pages: DataFrame) -> dict:
-    """The model from a sample of about PAGES rows of ``pages`` (page_id, html); without any page
-    that marks its article, every block counts as main text."""
-    rows = pages.where(F.col("html").isNotNull()).select("page_id", "html")
-    share = PAGES / max(1, rows.count())
-    draw = F.pmod(F.xxhash64("page_id", F.lit(23)), F.lit(SPREAD))
-    sample = rows.withColumn("draw", draw).where(F.col("draw") < share * SPREAD)
-    model = sample.groupBy().applyInPandas(
+    """The model from a sample of about PAGES rows of ``pages`` (page_id, html) that mark their
+    article; only if no page of the table does, every block counts as main text."""
+    model = labelled_sample(pages).groupBy().applyInPandas(
         lambda r: pd.DataFrame({"model": [pickle.dumps(fit(r.sort_values(["draw", "html"])["html"].tolist()))]}),
         "model binary").collect()
     found = pickle.loads(model[0].model) if model else {"weights": {}}

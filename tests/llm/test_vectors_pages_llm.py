@@ -149,6 +149,17 @@ def test_main_text_of_pages(spark, trained):
     assert html_main.extract(none, html_main.train(none)).collect() == []
 
 
+@pytest.mark.parametrize("marked", [3, 300])
+def test_labels_come_from_the_few_pages_that_mark_their_article(spark, marked):
+    plain = "<body><div class=menu><a href=#>Main domains {0}</a></div><p>Some text of page {0}, which marks nothing.</p>"
+    texts = [["A title", f"This is the text of page {i}, with some more words.", "It ends here, at last."] for i in range(marked)]
+    rows = [(i, page(t, i)) for i, t in enumerate(texts)] + [(10_000 + i, plain.format(i)) for i in range(4000)]
+    table = spark.createDataFrame(rows, "page_id long, html string").repartition(4)
+    assert min(marked, 130) <= html_main.labelled_sample(table).count() <= 270
+    model = html_main.train(table)
+    assert [html_main.main_text(page(t, 0), model) for t in texts[:3]] == ["\n\n".join(t) for t in texts[:3]]
+
+
 def test_other_layouts(trained):
     """Held-out layouts and texts: other tags and class words than the training pages have."""
     _, _, model = trained
