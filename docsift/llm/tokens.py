@@ -23,7 +23,8 @@ _CHARS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINT
 class PieceIds(dict):
     """A match of the split pattern to its ids as little-endian unsigned 32-bit bytes.
 
-    Strings of special tokens in a text are ordinary text."""
+    A text that holds a token added to the file (``<|endoftext|>``) is encoded by the library
+    as a whole, so that such a token gets its own id, as by ``Tokenizer.encode``."""
 
     LIMIT = 500_000
 
@@ -31,6 +32,7 @@ class PieceIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model.tokenize
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(public_tokenizers.PATTERN).findall
 
     def __missing__(self, piece: str) -> bytes:
@@ -41,6 +43,9 @@ class PieceIds(dict):
         return found
 
     def ids(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(self.__getitem__, self.split(text)))
 
 

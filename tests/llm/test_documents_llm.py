@@ -120,6 +120,17 @@ def test_plan_uses_every_piece_once(histogram):
         assert at <= 2048
 
 
+def test_added_tokens_have_their_ids(spark):
+    """Against the library with its default settings."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext| >", "no such token"]
+    want = {i: tok.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+    assert want[0][:-1] == [31373, 220, 50256, 995]
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in pack(docs_df(spark, [row(*t) for t in enumerate(texts)]), path).collect()}
+    assert got == {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in want.items()}
+
+
 def test_pack_nothing(empty):
     assert pack(empty, public_tokenizers.path("byte_bpe_50k.json")).collect() == []
 
