@@ -2,8 +2,8 @@
 
 Local runs (tests, bench) get a session sized for ``local[N]``; on a cluster
 the caller's session is used as is.  Lineage is cut only through
-``spark.checkpoint.dir``, which is read from the session and set here only
-when the session leaves it unset (tests, local bench).
+``spark.checkpoint.dir``, which is read from the session; ``build_session`` gives
+a local session one where Spark's defaults don't (Spark can't set it later).
 """
 
 from __future__ import annotations
@@ -20,8 +20,11 @@ def build_session(master: str | None = None, partitions: int | None = None,
     cpus = os.environ.get("BENCH_CPUS", "8")
     master = master or f"local[{cpus}]"
     partitions = partitions or int(cpus)
+    builder = SparkSession.builder.master(master)
+    if not _default("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="docsift-ckpt-"))
     spark = (
-        SparkSession.builder.master(master)
+        builder
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -42,18 +45,27 @@ def build_session(master: str | None = None, partitions: int | None = None,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as named by ``spark.checkpoint.dir``.
+def _default(key: str) -> str | None:
+    """What a running session or Spark's defaults files say of a setting."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active.conf.get(key, None)
+    home = os.environ.get("SPARK_CONF_DIR") or os.path.join(os.environ.get("SPARK_HOME", ""), "conf")
+    path = os.path.join(home, "spark-defaults.conf")
+    if os.path.isfile(path):
+        with open(path) as f:
+            for line in f:
+                name, _, value = line.strip().replace("=", " ", 1).partition(" ")
+                if name == key:
+                    return value.strip()
+    return None
+
 
-    Only a local master, where driver and executors are one process, may go without
-    the setting; it then gets a scratch folder.  A cluster without it is an error.
-    """
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as named by ``spark.checkpoint.dir``."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="docsift-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("set spark.checkpoint.dir, before the session starts, to a folder that driver and executors share")
     return path
 
 

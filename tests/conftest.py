@@ -10,7 +10,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
-    s = (SparkSession.builder.master("local[*]")
+
+    from docsift.session import _default
+    builder = SparkSession.builder.master("local[*]")
+    if not _default("spark.checkpoint.dir"):                  # tests only: a scratch folder
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="docsift-test-"))
+    s = (builder
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
@@ -18,8 +23,6 @@ def spark():
          .config("spark.sql.adaptive.enabled", "true")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):          # tests only: a scratch folder
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="docsift-test-"))
     yield s
 
 
