@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, hnsw, html_main, language, oracles, toxicity
+from .centroids import centroid_clusters
+from .collocations import collocations
 from .common import bounded_batches, fold, load
 from .embed_dedup import embedding_duplicates
 from .neardup import near_duplicates
 from .packing import pack
 from .repeats import remove_repeats
 from .sharding import kd_shards
+from .url_tree import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,6 +109,30 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(pages, html_main.train(pages))
 
 
+#: op11: (verdict, host, path).
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@_query("op11_url_filter", oracles.url_tree(URL_RULES))
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url, by the longest rule that fits, else by its host's path-template tree."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, URL_RULES).withColumn("purity", F.round("purity", 9))
+
+
+@_query("op12_collocations", oracles.collocations(5, 100, 100, 2000))
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2,000 phrases."""
+    return collocations(load(spark, sf_dir, "documents"), longest=5, least=100, percent=100, top=2000)
+
+
+@_query("op13_centroids", oracles.centroids(8, 10, 64, 1024, "3"))
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings of 64 components in 8 clusters, after 10 rounds."""
+    return centroid_clusters(load(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64)
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
