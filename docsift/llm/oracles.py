@@ -97,10 +97,12 @@ def collocations(longest: int, least: int, percent: int, top: int) -> str:
     return f"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({lower}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+w AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+word AS (SELECT pid, lang, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+ahead AS (
+  SELECT lang, list(word) OVER (PARTITION BY pid ORDER BY i ROWS BETWEEN CURRENT ROW AND {longest - 1} FOLLOWING) AS g FROM word),
 phrases AS MATERIALIZED (
-  SELECT lang, list_slice(ws, i, i + m - 1) AS g, count(*)::BIGINT AS f
-  FROM w, unnest(generate_series(1, {longest})) o(m), unnest(generate_series(1, len(ws) - m + 1)) t(i) WHERE len(ws) >= m
+  SELECT lang, list_slice(g, 1, m) AS g, count(*)::BIGINT AS f FROM ahead, unnest(generate_series(1, {longest})) o(m) WHERE len(g) >= m
   GROUP BY 1, 2),
 totals AS (SELECT lang, sum(f)::BIGINT AS n FROM phrases WHERE len(g) = 1 GROUP BY lang),
 frequent AS MATERIALIZED (SELECT * FROM phrases WHERE f >= {least}),
@@ -108,12 +110,12 @@ inside AS (
   SELECT p.lang, list_slice(p.g, i, i + m - 1) AS g, max(p.f) AS most
   FROM frequent p, unnest(generate_series(2, {longest})) o(m), unnest(generate_series(1, len(p.g) - m + 1)) t(i) WHERE len(p.g) > m
   GROUP BY 1, 2),
+cut AS MATERIALIZED (
+  SELECT p.*, k, list_slice(g, 1, k) AS head, list_slice(g, k + 1, len(g)) AS tail FROM frequent p, ({cuts}) c WHERE k < len(g)),
 scored AS (
   SELECT p.lang, p.g, p.f AS a, x.f AS l, y.f AS r, t.n, k,
          ((1000::HUGEINT * p.f * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
-  FROM frequent p JOIN ({cuts}) c ON c.k < len(p.g)
-  JOIN frequent x ON x.lang = p.lang AND x.g = list_slice(p.g, 1, k)
-  JOIN frequent y ON y.lang = p.lang AND y.g = list_slice(p.g, k + 1, len(p.g))
+  FROM cut p JOIN frequent x ON x.lang = p.lang AND x.g = p.head JOIN frequent y ON y.lang = p.lang AND y.g = p.tail
   JOIN totals t ON t.lang = p.lang
   QUALIFY row_number() OVER (PARTITION BY p.lang, p.g ORDER BY score, k) = 1),
 ranked AS (
