@@ -3,8 +3,8 @@
 Texts are cut into pieces and words, in shards of one language.  Phrases are counted order by
 order, and only such as can be frequent: those whose first and last n-1 words both are.
 
-* Order 1: a shard's distinct words with their counts are rows; the frequent ones get dense ids,
-  and every shard learns the ids of its own words.
+* Order 1: a shard sends its distinct words with their counts, a block for each range of word
+  hashes; the frequent ones get dense ids, and every shard gets back those of its own words.
 * Order n: a phrase is packed as the id of its first n-1 words and the id of its last word, in
   as many bits as these ids need.  A shard counts its phrases in a counting quotient filter
   (``quotient``), sends one block for each range of permuted keys, and gets back the ids of the
@@ -29,6 +29,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ _TABLE = bytes(0x0A if b in _BREAK else 0x20 if b == 9 else b | 0x20 if 0x41 <=
 
 SHARD = "shard string, lang string, n_words long, vocabulary array<string>, counts array<long>, tokens binary"
 STEP = "shard string, lang string, bucket int, block binary, state binary"
+WORDS = "bucket int, shard string, lang string, words array<string>, counts array<long>, places array<int>"
+FOUND = "bucket int, shard string, block binary, n long, words array<struct<lang: string, word: string, f: long>>"
 MERGED = "bucket int, shard string, block binary, n long"
 
 
@@ -109,6 +112,49 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _word_blocks(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """A shard's words by ranges of their hashes."""
+    for batch in batches:
+        for shard, lang, words, counts in zip(*(batch.column(c) for c in ("shard", "lang", "vocabulary", "counts"))):
+            words, counts = words.values, counts.values
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in words), np.uint64, len(words))
+            bucket = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(ranges + 1))
+            for b in np.flatnonzero(np.diff(cut)).tolist():
+                at = pa.array(order[cut[b]:cut[b + 1]], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b], pa.int32()), pa.array([shard.as_py()]), pa.array([lang.as_py()])]
+                    + [pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), v) for v in (words.take(at), counts.take(at), at)],
+                    names=["bucket", "shard", "lang", "words", "counts", "places"])
+
+
+def _merged_words(least: int) -> Callable:
+    """For a range: its frequent words, numbered (shard null), and for each shard the places of its
+    frequent words with their numbers."""
+    def run(blocks: pa.Table) -> pa.Table:
+        rows = list(zip(*(blocks.column(c).to_pylist() for c in ("shard", "lang")),
+                        *(blocks.column(c).combine_chunks() for c in ("words", "counts", "places"))))
+        totals: dict[tuple[str, str], int] = {}
+        for _, lang, words, counts, _ in rows:
+            for key, n in zip(((lang, w) for w in words.values.to_pylist()), counts.values.to_pylist()):
+                totals[key] = totals.get(key, 0) + n
+        often = sorted(k for k, n in totals.items() if n >= least)
+        number = {k: i for i, k in enumerate(often)}
+        bucket = blocks.column("bucket")[0].as_py()
+        out = [{"bucket": bucket, "n": len(often), "words": [{"lang": k[0], "word": k[1], "f": totals[k]} for k in often]}]
+        for shard, lang, words, _, places in rows:
+            found = np.array([number.get((lang, w), -1) for w in words.values.to_pylist()], np.int64)
+            hit = found >= 0
+            if hit.any():
+                block = _blob(places.values.to_numpy()[hit].astype("<i4"), found[hit].astype("<i4"))
+                out.append({"bucket": bucket, "shard": shard, "block": block, "n": len(often)})
+        return pa.Table.from_pylist(out, schema=pa.schema([
+            ("bucket", pa.int32()), ("shard", pa.string()), ("block", pa.binary()), ("n", pa.int64()),
+            ("words", pa.list_(pa.struct([("lang", pa.string()), ("word", pa.string()), ("f", pa.int64())])))]))
+    return run
+
+
 def _candidates(grams: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
     """Starts of the n-word phrases whose first and last n-1 words are frequent.  ``grams``: the
     id of the phrase of n-1 words that starts at each place, or -1."""
@@ -222,12 +268,14 @@ def _following(shard: str, lang: str, grams: np.ndarray, words: np.ndarray, n: i
 
 def _begin(bits: tuple[int, int], ranges: int, last: bool) -> Callable:
     """For cogroup: a shard and the ids of its frequent words -> its state and blocks of order 2."""
-    def run(key: tuple, shards: pa.Table, ids: pa.Table) -> pa.Table:
+    def run(key: tuple, shards: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for shard, lang, blob in zip(*(shards.column(c).to_pylist() for c in ("shard", "lang", "tokens"))):
             tokens = _unblob(blob, "<i4")[0]
             numbers = np.full(int(tokens.max(initial=-1)) + 2, -1, np.int32)  # the last is that of -1
-            numbers[ids.column("place").to_numpy()] = ids.column("id").to_numpy()
+            for first, block in zip(answers.column("first").to_pylist(), answers.column("block").to_pylist()):
+                places, found = _unblob(block, "<i4", "<i4")
+                numbers[places] = found + first
             words = numbers[tokens]
             out += _following(shard, lang, words.astype(np.int64), words, 2, bits, ranges, last)
         return _step_table(out)
@@ -251,17 +299,12 @@ def _bits(n: int) -> int:
     return max(1, (n - 1).bit_length())
 
 
-def _numbered(rows: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """``rows`` with a gapless ``id`` from 0: numbers in a partition after those of the earlier ones."""
-    mixed = save_table(rows.withColumn("number", F.monotonically_increasing_id()), label)
-    part, inside = F.shiftright("number", 33), F.col("number").bitwiseAND((1 << 33) - 1)
-    sizes = mixed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    first = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # a row for each partition
-    firsts = sizes.select(F.col("part").alias("p"), first.alias("first"))
-    out = (mixed.withColumn("part", part).join(firsts, F.col("part") == F.col("p"))
-           .withColumn("id", F.col("first") + inside).drop("number", "part", "p", "first"))
-    return out, mixed.count()
+def _placed(merged: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of ``merged`` with ``first``, the number of frequent keys in the ranges before."""
+    sizes = merged.where(F.col("shard").isNull()).select("bucket", "n")  # a row for each range
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select(F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return merged.join(firsts, F.col("bucket") == F.col("b")).drop("b"), sizes.agg(F.sum("n")).first()[0] or 0
 
 
 def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
@@ -273,19 +316,18 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFra
     source = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").alias("text"))
     shards = save_table(source.mapInArrow(_shards, SHARD), "phrases-shards")
     totals = shards.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    held = (shards.select("shard", "lang", F.posexplode(F.arrays_zip("vocabulary", "counts")).alias("place", "w"))
-            .select("shard", "lang", "place", F.col("w.vocabulary").alias("word"), F.col("w.counts").alias("f")))
-    counted = held.groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    words, n_words = _numbered(counted, "phrases-words")
-    words = save_table(words, "phrases-words")
+    all_words = totals.agg(F.sum("n")).first()[0] or 0
+    ranges = max(1, all_words // RANGE_WORDS)
+    blocks = shards.select("shard", "lang", "vocabulary", "counts").mapInArrow(partial(_word_blocks, ranges=ranges), WORDS)
+    merged = save_table(blocks.groupBy("bucket").applyInArrow(_merged_words(least), FOUND), "phrases-words")
+    placed, n_words = _placed(merged)
+    words = (placed.where(F.col("shard").isNull()).select("first", F.posexplode("words").alias("at", "w"))
+             .select((F.col("first") + F.col("at")).alias("id"), "w.lang", "w.word", "w.f"))
     orders: list[DataFrame] = []
     if not n_words or longest < 2:
         return totals, words, orders
-    all_words = totals.agg(F.sum("n")).first()[0]
-    ranges, width = max(1, all_words // RANGE_WORDS), _bits(n_words)
-    known = (held.join(words.select(F.col("lang").alias("w_lang"), F.col("word").alias("w_word"), "id"),
-                       (F.col("lang") == F.col("w_lang")) & (F.col("word") == F.col("w_word")))
-             .select(F.col("shard").alias("of_shard"), "place", F.col("id").cast("int").alias("id")))
+    width = _bits(n_words)
+    known = placed.where(F.col("shard").isNotNull()).select(F.col("shard").alias("of_shard"), "first", "block")
     bits = (width, width)
     steps = save_table(shards.select("shard", "lang", "tokens").groupBy("shard").cogroup(known.groupBy("of_shard"))
                        .applyInArrow(_begin(bits, ranges, longest == 2), STEP), "phrases-state")
@@ -293,14 +335,10 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFra
         each = _range_bits(ranges, sum(bits))
         merged = save_table(steps.where(F.col("block").isNotNull()).select("bucket", "shard", "block").groupBy("bucket")
                             .applyInPandas(_merging(least, each), MERGED), "phrases-merged")
-        sizes = merged.where(F.col("shard").isNull()).select("bucket", "n")
-        before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        firsts = sizes.select(F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-        placed = merged.join(firsts, F.col("bucket") == F.col("b")).drop("b")
+        placed, found = _placed(merged)
         orders.append(save_table(placed.where(F.col("shard").isNull()).select("bucket", "first", "block")
                                  .mapInArrow(partial(_decoded, bits=bits, ranges=ranges), "id long, head long, last long, f long"),
                                  "phrases-order"))
-        found = sizes.agg(F.sum("n")).first()[0]
         if n == longest or not found:
             break
         after = (_bits(found), width)
@@ -355,6 +393,7 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, percent: i
     table gives no rows; rows count as often as they occur.
     """
     totals, words, orders = frequent_phrases(docs, longest, least)
+    words = save_table(words, "phrases-named")
     named = _named(words, orders)
     exact = "decimal(19,0)"
     parts = []
