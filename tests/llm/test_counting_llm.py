@@ -197,3 +197,23 @@ def test_bounds_spare_scans():
     assert scanned[0] == 3000 and scanned[-1] < 1500
     far = np.array([[1 << 26, -(1 << 26)], [5, 6]])
     assert squared(far, far).tolist() == [[0, ((1 << 26) - 5) ** 2 + ((1 << 26) + 6) ** 2], [((1 << 26) - 5) ** 2 + ((1 << 26) + 6) ** 2, 0]]
+
+
+# -- splitting by the standard library --------------------------------------------------------------
+
+def test_splitter_agrees():
+    import public_tokenizers
+    import regex
+
+    from docsift.llm.tokens import PLAIN, splitter
+    quick, full = splitter(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN).findall
+    rng = random.Random(12)
+    for c in range(PLAIN + 16):  # every character in all kinds of company
+        for text in (chr(c), f"a{chr(c)}1 {chr(c)}{chr(c)} b", f" {chr(c)}'s  {chr(c)}\n"):
+            assert quick(text) == full(text), hex(c)
+    some = "aZ09 '\t\n\x1c\x85\xa0 ’sé漢́ⅷ²!?'re'll"
+    for _ in range(5000):
+        text = "".join(rng.choice(some) for _ in range(rng.randrange(30)))
+        assert quick(text) == full(text)
+    other = r"\d+|\w"
+    assert splitter(other)("a12") == ["a", "12"]
