@@ -52,20 +52,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHash(dict):
-    """Word bytes to a 64-bit hash; remembers a bounded number of words."""
+    """Word bytes to a 64-bit hash; remembers a bounded number of words of a bounded length."""
 
-    LIMIT = 1_000_000
+    LIMIT, LONGEST = 300_000, 64
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = h
         return h
 
     def array(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: The word hashes of a worker process, one table for all operators that run in it.
+WORDS = WordHash()
+
+
 def split_words(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+``: bytes.split() cuts at exactly these six bytes."""
     return text.split()

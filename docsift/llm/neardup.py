@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, save_table, shingle_hashes, split_words, texts_of
+from .common import WORDS, save_table, shingle_hashes, split_words, texts_of
 from .components import components, roots
 
 B = 1.1
@@ -41,17 +41,18 @@ MARGIN = 0.15
 #: Partners of a pivot in one sorted group; members of a block of a bucket; shingles of a block that
 #: are counted at once.
 GROUP, BLOCK, COLUMNS = 500, 500, 4096
+#: Shingles of members whose intersections are counted together, about.
+SHINGLES = 500_000
 
 _LOWER = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
 _RNG = np.random.default_rng(20)
 _MULT = (_RNG.integers(0, 1 << 31, (REGISTERS, 1)) * 2 + 1).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, (REGISTERS, 1)).astype(np.uint32)
-_WORDS = WordHash()
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; fewer words are one shingle."""
-    w = _WORDS.array(split_words(text.translate(_LOWER)))
+    w = WORDS.array(split_words(text.translate(_LOWER)))
     if not len(w):
         return w
     return np.unique(shingle_hashes(w, min(k, len(w))))
@@ -201,32 +202,51 @@ def _marked(frames: Iterator[pd.DataFrame], least: float, percent: int) -> Itera
     yield from _by_group(frames, PLACE, work)
 
 
+def _portions(members: np.ndarray, sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Members in runs of about SHINGLES shingles."""
+    filled = np.cumsum([len(sets[n]) for n in members]) // SHINGLES
+    return np.split(members, np.flatnonzero(np.diff(filled)) + 1) if len(members) else []
+
+
+def _similar(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (place in x, place in y) that are similar enough, by the sizes of all intersections."""
+    sets = [*x, *y]
+    sizes = np.array([len(s) for s in sets])
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen > 1  # a shingle of one member is in no intersection
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    rows, column = rows[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    both = np.zeros((len(x), len(y)), np.float32)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        low, high = np.searchsorted(column, [start, start + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[rows[low:high], column[low:high] - start] = 1
+        both += m[:len(x)] @ m[len(x):].T
+    union = sizes[:len(x)][:, None] + sizes[len(x):][None] - both
+    return np.nonzero((both > 0) & (100 * both >= percent * union))
+
+
 def _linked(frames: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[pd.DataFrame]:
     """Links between components in a pair of blocks, by exact intersections; at most one a member."""
     def work(g: pd.DataFrame) -> pd.DataFrame:
         sets = [shingle_set((t or "").encode(), k) for t in g["text"]]
-        sizes = np.array([len(s) for s in sets])
-        rows = np.repeat(np.arange(len(g)), sizes)
-        _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = seen > 1  # a shingle of one member is in no intersection
-        number = np.cumsum(shared) - 1
-        keep = shared[column]
-        rows, column = rows[keep], number[column[keep]]
-        order = np.argsort(column, kind="stable")
-        rows, column = rows[order], column[order]
+        comp, ids = g["component"].to_numpy(), g["x"].to_numpy()
         left = np.flatnonzero(g["block"] == g["i"].iloc[0])
         right = np.flatnonzero(g["block"] == g["j"].iloc[0])
-        both = np.zeros((len(left), len(right)), np.float32)
-        for start in range(0, int(shared.sum()), COLUMNS):
-            low, high = np.searchsorted(column, [start, start + COLUMNS])
-            m = np.zeros((len(g), COLUMNS), np.float32)
-            m[rows[low:high], column[low:high] - start] = 1
-            both += m[left] @ m[right].T
-        union = sizes[left][:, None] + sizes[right][None] - both
-        comp, ids = g["component"].to_numpy(), g["x"].to_numpy()
-        found = (both > 0) & (100 * both >= percent * union) & (comp[left][:, None] != comp[right][None])
-        a, b = np.nonzero(found)
-        nodes, low = roots(ids[left[a]], ids[right[b]])
+        a, b = [], []
+        for x in _portions(left, sets):
+            for y in _portions(right, sets):
+                i, j = _similar([sets[n] for n in x], [sets[n] for n in y], percent)
+                apart = comp[x[i]] != comp[y[j]]
+                a.append(ids[x[i[apart]]])
+                b.append(ids[y[j[apart]]])
+        if not a:
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        nodes, low = roots(np.concatenate(a), np.concatenate(b))
         return pd.DataFrame({"a": nodes, "b": low})[nodes != low]
 
     yield from _by_group(frames, PLACE, work)

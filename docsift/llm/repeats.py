@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .common import WordHash, shingle_hashes, split_words, texts_of
+from .common import WORDS, shingle_hashes, split_words, texts_of
 
 #: Bytes of text in a chunk, about (a longer text is a chunk of its own).
 CHUNK_BYTES = 4 << 20
@@ -73,8 +73,6 @@ def _rows(blob: bytes) -> pa.RecordBatch:
         return r.read_next_batch()
 
 
-#: Word hashes that a worker process remembers from chunk to chunk.
-_WORDS = WordHash()
 
 
 class _Chunk:
@@ -87,7 +85,7 @@ class _Chunk:
         values = np.array(ids.fill_null(0), np.int64)
         self.order = np.lexsort((values, ~known))
         self.texts = list(texts_of(self.batch))
-        words = [_WORDS.array(split_words(self.texts[i])) for i in self.order]
+        words = [WORDS.array(split_words(self.texts[i])) for i in self.order]
         sizes = np.array([len(w) for w in words], np.int64)
         self.first = np.concatenate([[0], np.cumsum(sizes)])
         self.words = np.concatenate(words) if words else np.empty(0, np.uint64)
