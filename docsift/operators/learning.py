@@ -12,10 +12,11 @@ from classified documents.  Steps:
   (compiles, matches its text, not too permissive, 3..200 chars, rejects the
   negative probes)
 
-Skew: one key may hold a large share of all sightings.  The EMA needs each
-sighting's rank inside its key; ranks come from (key, time-bucket) windows
-plus per-bucket offsets, so no single task sorts a hot key, and the final
-EMA is a plain ``sum`` (map-side combined).
+Skew: one key, even one time stamp, may hold a large share of all sightings.  The
+EMA is a scan: a run of consecutive sightings maps the value before it by
+c -> a c + b, and such maps compose.  Sightings are cut into runs by a range
+partitioning of (key, time, sequence), so a hot key spans many runs of like
+size; each run is summed up for itself, and a key folds its few runs in order.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from pyspark.sql.window import Window
 from ..sources.fixed_values import (LEARNER_BASIC_PATTERNS, LEARNER_TOO_PERMISSIVE,
                                     PREDEFINED_FEATURE_REGEX)
 
-BUCKET_SECONDS = 3600
 RE_ESCAPE_CLASS = r"([()\[\]{}?*+\-|^$\\.&~# \t\n\r\u000b\u000c])"
 
 
@@ -44,28 +44,28 @@ def gate_sightings(s: DataFrame, min_confidence: float = 0.8) -> DataFrame:
     return s.filter(F.col("confidence") >= min_confidence).filter(ok)
 
 
-def candidate_stats(s: DataFrame, keys: tuple[str, ...] = ("feature_type", "text"),
-                    bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """A7 + W5 with skew-safe ranks.  Output: keys, occurrences, first_seen,
-    last_seen, confidence (EMA in (ts, seq) order)."""
+def candidate_stats(s: DataFrame, keys: tuple[str, ...] = ("feature_type", "text"), runs: int | None = None) -> DataFrame:
+    """A7 + W5 as a parallel ordered scan.  Output: keys, occurrences, first_seen, last_seen,
+    confidence (EMA in (ts, seq) order).  ``runs``: of the range partitioning, at most that many
+    runs a key (spark.sql.shuffle.partitions); keys may be null."""
     k = list(keys)
-    s = s.withColumn("_b", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (bucket_seconds * 1_000_000)))
-    # rank inside (key, bucket): windows over bounded time slices
-    w_local = Window.partitionBy(*k, "_b").orderBy("ts", "seq")
-    s = s.withColumn("_r", F.row_number().over(w_local))
-    # offsets of buckets inside a key: small table (one row per key and bucket)
-    per_b = s.groupBy(*k, "_b").agg(F.count("*").alias("_nb"))
-    w_key = Window.partitionBy(*k).orderBy("_b")
-    per_b = (per_b.withColumn("_off", F.sum("_nb").over(w_key) - F.col("_nb"))
-                  .withColumn("_n", F.sum("_nb").over(Window.partitionBy(*k))))
-    s = s.join(per_b.select(*k, "_b", "_off", "_n"), [*k, "_b"])
-    i = (F.col("_off") + F.col("_r")).cast("double")          # 1-based rank in the key
-    n = F.col("_n").cast("double")
-    w = F.when(i == 1, F.pow(F.lit(0.7), n - 1)).otherwise(F.lit(0.3) * F.pow(F.lit(0.7), n - i))
-    return (s.groupBy(*k).agg(
-        F.count("*").alias("occurrences"),
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-        F.sum(F.col("confidence") * w).alias("confidence")))
+    runs = runs or int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = (s.select(*k, "ts", "seq", "confidence").repartitionByRange(runs, *k, "ts", "seq")
+           .withColumn("_run", F.spark_partition_id()))
+    # a run of a key is a part of one range, whatever the key's size
+    inside = Window.partitionBy(*k, "_run")
+    ranked = (cut.withColumn("_r", F.row_number().over(inside.orderBy("ts", "seq")))
+              .withColumn("_n", F.count("*").over(inside)))
+    weight = F.lit(0.3) * F.pow(F.lit(0.7), (F.col("_n") - F.col("_r")).cast("double"))
+    each = ranked.groupBy(*k, "_run").agg(
+        F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"),
+        F.max(F.when(F.col("_r") == 1, F.col("confidence"))).alias("x"), F.sum(F.col("confidence") * weight).alias("b"))
+    ordered = each.groupBy(*k).agg(
+        F.sum("n").alias("occurrences"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"),
+        F.sort_array(F.collect_list(F.struct("_run", "x", F.pow(F.lit(0.7), F.col("n").cast("double")).alias("a"), "b"))).alias("_runs"))
+    # the first sighting counts whole: the value before it is taken to be the same
+    ema = F.aggregate("_runs", F.col("_runs")[0]["x"], lambda c, r: r["a"] * c + r["b"])
+    return ordered.select(*k, "occurrences", "first_seen", "last_seen", ema.alias("confidence"))
 
 
 def re_escape(c: Column) -> Column:

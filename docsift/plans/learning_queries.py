@@ -15,12 +15,15 @@ from .registry import r6, register, sql_str
 
 _PRE = " ".join(f"WHEN {sql_str(k)} THEN {sql_str(v)}" for k, v in PREDEFINED_FEATURE_REGEX.items())
 
-_STATS = f"""
+#: The sightings that pass F6 and F7.
+GATED_SQL = f"""
 WITH s0 AS ({SIGHTINGS_DUCK}),
 s AS (
   SELECT * FROM s0
   WHERE confidence >= 0.8 AND text IS NOT NULL AND length(text) >= 3
-    AND (CASE feature_type {_PRE} END IS NULL OR regexp_matches(text, CASE feature_type {_PRE} END))),
+    AND (CASE feature_type {_PRE} END IS NULL OR regexp_matches(text, CASE feature_type {_PRE} END)))"""
+
+_STATS = GATED_SQL + """,
 r AS (SELECT *, row_number() OVER (PARTITION BY feature_type, text ORDER BY ts, seq) AS i,
              count(*) OVER (PARTITION BY feature_type, text) AS n FROM s),
 stats AS (
@@ -46,13 +49,17 @@ def candidate_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ESC = "regexp_replace(text, '([()\\[\\]{}?*+\\-|^$\\\\.&~# \\t\\n\\r\\x0b\\x0c])', '\\\\\\1', 'g')"
 
 
+def expression_sql() -> str:
+    """The pattern of a sighting's type and text: the predefined one, else the literal text."""
+    return (f"CASE WHEN CASE feature_type {_PRE} END IS NOT NULL THEN "
+            f"CASE WHEN regexp_matches(text, CASE feature_type {_PRE} END) THEN CASE feature_type {_PRE} END END "
+            f"WHEN length('^' || {_ESC} || '$') BETWEEN 3 AND 200 THEN '^' || {_ESC} || '$' END")
+
+
 @register("learned_patterns", _STATS + f""",
 mature AS (SELECT * FROM stats WHERE occurrences >= 3 AND round(confidence, 9) >= 0.8),
 gen AS (
-  SELECT *, CASE WHEN CASE feature_type {_PRE} END IS NOT NULL THEN
-                   CASE WHEN regexp_matches(text, CASE feature_type {_PRE} END) THEN CASE feature_type {_PRE} END END
-                 ELSE CASE WHEN length('^' || {_ESC} || '$') BETWEEN 3 AND 200 THEN '^' || {_ESC} || '$' END
-            END AS expression
+  SELECT *, {expression_sql()} AS expression
   FROM mature)
 SELECT 'general' AS industry, feature_type, expression, count(*)::BIGINT AS n_candidates,
        sum(occurrences)::BIGINT AS n_sightings, sum(floor(occurrences / 3))::BIGINT AS n_emissions

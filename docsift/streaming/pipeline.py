@@ -1,6 +1,6 @@
 """Structured Streaming jobs.
 
-``process_stream`` (R1, R2, R4, R5, S15): documents arrive on a file (or any)
+``process_stream`` (R1, R2, R4, S15): documents arrive on a file (or any)
 stream; each micro-batch is handled in ``foreachBatch``:
 
     hash contents (H52) -> drop in-batch repeats -> anti-join the results table
@@ -12,21 +12,28 @@ stream; each micro-batch is handled in ``foreachBatch``:
 The result table is the durable cache: it lives in the shared folder and is
 read back by hash, so no unbounded in-memory streaming state is kept.
 
-``learner_stream`` (R3): sightings grouped by (feature_type, text) go through
-``applyInPandasWithState``; the state is the candidate (count, EMA, first and
-last seen) folded in arrival order; a candidate that matures emits its learned
-pattern and restarts; a candidate idle for more than 30 days (event time) is
-dropped when its key is seen again.
+``learner_stream`` (R3, H49, H50): sightings grouped by (feature_type, text) go
+through ``transformWithStateInPandas``; the value state is the candidate (count,
+EMA, first and last seen) folded in arrival order; a candidate that matures emits
+its learned pattern and restarts.  The state has a time to live: a candidate that
+is idle for 30 days goes from the store without being seen again.  One whose next
+sighting is over 30 days later by its own time stamp restarts too, so that a
+replay of old sightings gives what the live stream gave.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pyspark.errors import AnalysisException
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.documents import content_hash, unexpired
 from ..operators.learning import generate_expression
@@ -118,58 +125,85 @@ def clear_cache(entries: DataFrame, key_col: str, prefix: str | None = None) ->
 LEARNED_SCHEMA = T.StructType([
     T.StructField("feature_type", T.StringType()), T.StructField("text", T.StringType()),
     T.StructField("expression", T.StringType()), T.StructField("occurrences", T.LongType()),
-    T.StructField("confidence", T.DoubleType()), T.StructField("first_seen", T.TimestampType()),
-    T.StructField("last_seen", T.TimestampType())])
+    T.StructField("confidence", T.DoubleType()), T.StructField("first_us", T.LongType()),
+    T.StructField("last_us", T.LongType())])
+#: Times in microseconds.
 STATE_SCHEMA = T.StructType([
     T.StructField("occurrences", T.LongType()), T.StructField("confidence", T.DoubleType()),
-    T.StructField("first_seen", T.TimestampType()), T.StructField("last_seen", T.TimestampType())])
+    T.StructField("first_us", T.LongType()), T.StructField("last_us", T.LongType())])
 STALE_DAYS = 30
-
-
-def _fold(key, batches, state):
-    """A candidate's sightings of one micro-batch in arrival order (three numbers a row)."""
-    occ, conf, first, last = state.get if state.exists else (0, None, None, None)
-    out, expr, parts = [], None, []
-    for pdf in batches:
-        parts.append(pdf[["ts", "seq", "confidence"]])
-        expr = pdf["expression"].iloc[0] if len(pdf) else expr
-    rows = pd.concat(parts).sort_values(["ts", "seq"])
-    ftype, text = key
-    for ts, x in zip(rows["ts"], rows["confidence"]):
-        if occ > 0 and (ts - last).days > STALE_DAYS:     # H50: idle candidate dropped
-            occ, conf, first, last = 0, None, None, None
-        if occ == 0:
-            occ, conf, first, last = 1, float(x), ts, ts
+DAY_US = 86_400_000_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class CandidateLearner(StatefulProcessor):
+    """One candidate of the learner.  Of a micro-batch's sightings of a key it holds three numbers
+    each (24 bytes), to put them in order; the source's ``maxBytesPerTrigger`` bounds these."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.candidate = handle.getValueState("candidate", STATE_SCHEMA, self.idle_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        us, seq, confidence, expression = [], [], [], None
+        for pdf in rows:
+            us.append(pdf["us"].to_numpy(np.int64))
+            seq.append(pdf["seq"].to_numpy(np.int64))
+            confidence.append(pdf["confidence"].to_numpy(float))
+            expression = pdf["expression"].iloc[0] if len(pdf) else expression
+        us, seq, confidence = np.concatenate(us), np.concatenate(seq), np.concatenate(confidence)
+        order = np.lexsort((seq, us))
+        count, ema, first, last = self.candidate.get() if self.candidate.exists() else (0, 0.0, 0, 0)
+        out = []
+        for t, x in zip(us[order].tolist(), confidence[order].tolist()):
+            if count and (t - last) // DAY_US > STALE_DAYS:  # H50: the idle candidate was dropped
+                count = 0
+            if count:
+                count, ema, last = count + 1, ema * 0.7 + x * 0.3, t
+            else:
+                count, ema, first, last = 1, x, t, t
+            # the batch learner's rule: maturity is judged at 9 decimals
+            if count >= 3 and round(ema, 9) >= 0.8 and expression is not None:
+                out.append((*key, expression, count, ema, first, last))
+                count = 0
+        if count:
+            self.candidate.update((count, ema, first, last))
         else:
-            occ, last, conf = occ + 1, ts, conf * 0.7 + float(x) * 0.3
-        # the batch learner's rule: maturity is judged at 9 decimals
-        if occ >= 3 and round(conf, 9) >= 0.8 and expr is not None:
-            out.append((ftype, text, expr, occ, conf, first, last))
-            occ, conf, first, last = 0, None, None, None
-    if occ == 0:
-        state.remove()
-    else:
-        state.update((occ, conf, first, last))
-    if out:
+            self.candidate.clear()
         yield pd.DataFrame(out, columns=[f.name for f in LEARNED_SCHEMA.fields])
 
+    def close(self) -> None:
+        pass
 
-def learner_stream(sightings: DataFrame) -> DataFrame:
+
+def learner_stream(sightings: DataFrame, idle_seconds: int = STALE_DAYS * 86400) -> DataFrame:
     """R3 on a streaming DataFrame of gated sightings.  The pattern that a candidate would
     give is a column (H46-H48, as in batch); a candidate without one never matures."""
-    return (sightings.withColumn("expression", generate_expression(F.col("feature_type"), F.col("text")))
-            .groupBy("feature_type", "text")
-            .applyInPandasWithState(_fold, LEARNED_SCHEMA, STATE_SCHEMA, "append", "NoTimeout"))
-
-
-def run_available_now(df: DataFrame, name: str, spark: SparkSession) -> DataFrame:
-    """Drive a streaming DataFrame to completion into a parquet table in the shared
-    checkpoint folder and read the table back (for batch comparison)."""
-    base = checkpoint_dir(spark).rstrip("/")
-    import uuid
-    run = f"{base}/docsift-stream/{name}-{uuid.uuid4().hex[:8]}"
-    q = (df.writeStream.format("parquet").option("path", f"{run}/out")
-         .option("checkpointLocation", f"{run}/ckpt").outputMode("append")
-         .trigger(availableNow=True).start())
+    keyed = (sightings.withColumn("expression", generate_expression(F.col("feature_type"), F.col("text")))
+             .select("feature_type", "text", "expression", "confidence", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")))
+    learned = (keyed.groupBy("feature_type", "text")
+               .transformWithStateInPandas(CandidateLearner(idle_seconds * 1000), LEARNED_SCHEMA, "Append", "ProcessingTime"))
+    return learned.select("feature_type", "text", "expression", "occurrences", "confidence",
+                          F.timestamp_micros("first_us").alias("first_seen"), F.timestamp_micros("last_us").alias("last_seen"))
+
+
+def run_available_now(df: DataFrame, name: str, spark: SparkSession, run: str | None = None) -> DataFrame:
+    """Drive a streaming DataFrame to completion into a parquet table in the shared checkpoint
+    folder and read the table back.  ``run``: the folder of an earlier run to go on with."""
+    run = run or f"{checkpoint_dir(spark).rstrip('/')}/docsift-stream/{name}-{uuid.uuid4().hex[:8]}"
+    # keyed state with a time to live is RocksDB's; no batches without data, which would never end
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        q = (df.writeStream.format("parquet").option("path", f"{run}/out")
+             .option("checkpointLocation", f"{run}/ckpt").outputMode("append")
+             .trigger(availableNow=True).start())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{run}/out")
