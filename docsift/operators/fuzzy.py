@@ -6,7 +6,7 @@ Three modes, chosen by the pattern: ``is_name`` (chunks of the text),
 Plan shape:
 
     occurrences (doc_id, pattern_id, candidate, start, end)  <- explode per document, no text beside them
-    distinct (pattern, candidate) JOIN examples              <- only distinct pairs are scored
+    distinct (pattern, candidate) JOIN examples              <- equi-joins on (pattern, key), J4
         native: Levenshtein ratio, n-gram similarity, an upper bound of the score; pairs whose
         bound is under the threshold go (J4); addresses meet by number and street type (J5)
         Arrow UDF: difflib ratio, phonetic score, for the pairs that are left
@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import exclusive_prefix_sum, let
-from ..functions.similarity import (address_parts, levenshtein_ratio, ngram_similarity,
-                                    phonetic_similarity, seq_ratio, street_type_norm, strip_ws,
-                                    ws_split)
+from ..functions.similarity import (address_parts, levenshtein_ratio, ngram_set, ngram_similarity,
+                                    phonetic_similarity, seq_ratio, sound_codes, street_type_norm,
+                                    strip_ws, ws_split)
 from ..sources.fixed_values import MIN_MATCH_CONFIDENCE, NAME_TITLES
 
 CHUNK_SEPARATORS = ["\n", ".", ",", ";", ":", "-", " "]
@@ -142,11 +142,94 @@ def _seq_bound(a: Column, b: Column) -> Column:
     return F.when(x + y == 0, F.lit(1.0)).otherwise(2.0 * F.least(x, y) / (x + y))
 
 
+def _least_ratio(seq_weight: float, lev_weight: float, wanted: Column) -> Column:
+    """The least ratio of lengths r at which seq_weight * 2r / (1 + r) + lev_weight * r, the most that
+    both ratios can give, reaches what is wanted."""
+    b = 2 * seq_weight + lev_weight - wanted
+    return F.when(wanted <= 0, F.lit(0.0)).otherwise((-b + F.sqrt(b * b + 4 * lev_weight * wanted)) / (2 * lev_weight))
+
+
+def _tagged(tag: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(tag), k))
+
+
+def _first_of(items: Column, share: Column) -> Column:
+    """Two sorted sets that have ``share`` of each one's items in common have one of these in common."""
+    n = F.size(items)
+    return F.slice(items, 1, F.greatest(F.least(n - F.ceil(n * share - 1e-6).cast("int") + 1, n), F.lit(0)))
+
+
+def _characters(s: Column) -> Column:
+    """The characters of a text, repeated ones numbered, in a fixed order."""
+    each = F.sort_array(F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1))), asc=False)
+    numbered = let(each, lambda c: F.transform(c, lambda x, i: F.concat(x, (i - F.array_position(c, x)).cast("string"))))
+    return F.when(F.length(s) > 0, numbered).otherwise(F.array().cast("array<string>"))
+
+
+def _prefixes(s: Column, lengths: Column) -> Column:
+    return F.transform(lengths, lambda n: F.substring(s, F.lit(1), n))
+
+
+def _blocking_keys(mode: str, raw: Column, ratio: Column, prefix_ratio: Column, longest: Column, lengths: Column | None) -> Column:
+    """Keys of which two texts that can reach the threshold share one (J4); see ``candidate_pairs``.
+    ``lengths``: those of the pattern's examples, for a candidate; null for an example."""
+    s, none = F.lower(raw), F.array().cast("array<string>")
+    n = F.length(s)
+    near = F.when(n * ratio <= longest + 1e-6, _characters(s)).otherwise(none)
+    keys = [_tagged("g:", _first_of(F.sort_array(ngram_set(s)), F.lit(0.7))), _tagged("c:", _first_of(near, ratio))]
+    if mode == "name":
+        last = F.try_element_at(ws_split(raw), F.lit(-1))
+        number = address_parts(raw, loose=True)["number"]
+        one = lambda tag, k: F.when(k.isNotNull(), F.array(F.concat(F.lit(tag), k))).otherwise(none)
+        keys += [one("l:", last), one("n:", number), sound_codes(raw)]
+    else:
+        fit = lambda x: (x >= prefix_ratio * n - 1e-6) & (x >= 1) & (x <= n)
+        whole = F.array(s)
+        own = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), fit) if lengths is None else F.filter(lengths, fit)
+        mine, others = ("q:", "p:") if lengths is None else ("p:", "q:")
+        keys += [_tagged(mine, _prefixes(s, own)), _tagged(others, whole)]
+    return F.array_distinct(F.concat(*keys))
+
+
+def candidate_pairs(keys: DataFrame, examples: DataFrame, mode: str, min_confidence: float) -> DataFrame:
+    """(candidate, example) pairs of a pattern that can reach its threshold, by equi-joins on
+    (pattern, key).  A superset of the matches, without meeting every example:
+
+    * an n-gram part above 0 means 0.7 of the larger set shared: one of the first trigrams of each
+      in sorted order (prefix filter); in names also the same house number;
+    * the boosts for a common beginning need one text to begin with the other; that for a last name
+      needs the same last word;
+    * a phonetic part of more than 0.3 needs a common Soundex or Metaphone code of a word;
+    * what is left rests on the difflib and Levenshtein ratios.  Both are bounded by the lengths and
+      by the characters in common, so the lengths are within a ratio, and so many characters are
+      shared that one of each text's first ones in a fixed order is.
+
+    A threshold of 0 or less, and examples whose lower case has another length, meet everything; a null example matches nothing."""
+    t = F.coalesce("min_conf", F.lit(min_confidence))
+    if mode == "name":
+        ratio, prefix_ratio = _least_ratio(0.25, 0.15, t / (1.3 * 1.2) - 0.45 * 0.3 - 1e-6), F.lit(1.0)
+    else:
+        ratio, prefix_ratio = (_least_ratio(0.4, 0.3, t / boost - 1e-6) for boost in (1.2, 1.3 * 1.2 * 1.2))
+    e, c = F.col("example"), F.col("cand")
+    patterns = examples.groupBy("e_pattern").agg(F.first("min_conf").alias("min_conf"),
+                                                 F.sort_array(F.collect_set(F.length(F.lower(e)))).alias("lengths"))
+    left = (keys.filter(F.col("mode") == mode).join(patterns, F.col("pattern_id") == F.col("e_pattern")).drop("e_pattern")
+            .withColumn("key", F.explode(F.concat(F.array(F.lit("all")), _blocking_keys(
+                mode, c, ratio, prefix_ratio, F.coalesce(F.try_element_at("lengths", F.lit(-1)), F.lit(0)), F.col("lengths"))))).drop("lengths"))
+    odd = (t <= 0) | (F.length(F.lower(e)) != F.length(e)) | e.contains("Σ")
+    right = (examples.filter(e.isNotNull()).withColumn("e_key", F.explode(F.when(odd, F.array(F.lit("all"))).otherwise(
+        _blocking_keys(mode, e, ratio, prefix_ratio, F.length(e), None)))).drop("min_conf"))
+    met = left.join(right, (F.col("pattern_id") == F.col("e_pattern")) & (F.col("key") == F.col("e_key")))
+    x, y = F.length(c), F.length(e)
+    met = met.filter(~F.col("key").startswith("c:") | (F.least(x, y) >= ratio * F.greatest(x, y) - 1e-6))
+    return met.select("mode", "pattern_id", "cand", "min_conf", "ex_idx", "example").distinct()
+
+
 def _score_word_name(keys: DataFrame, examples: DataFrame, mode: str, min_confidence: float) -> DataFrame:
-    """Scores rise with the difflib ratio and the phonetic score, so a pair whose score with
+    """Scores rise with the difflib ratio and the phonetic score, so a pair whose score with
     their upper bounds misses the threshold can't be a match."""
     c, e = F.col("cand"), F.col("example")
-    p = (keys.filter(F.col("mode") == mode).join(examples, F.col("pattern_id") == F.col("e_pattern"))
+    p = (candidate_pairs(keys, examples, mode, min_confidence)
          .withColumn("lev", F.coalesce(levenshtein_ratio(c, e), F.lit(0.0)))
          .withColumn("ngram", ngram_similarity(c, e)))
 
