@@ -243,7 +243,7 @@ def _step(n: int, bits: tuple[int, int], after: tuple[int, int] | None, ranges:
     def run(key: tuple, states: pa.Table, answers: pa.Table) -> pa.Table:
         out, answered = [], answers.to_pandas()
         for shard, lang, state in zip(*(states.column(c).to_pylist() for c in ("shard", "lang", "state"))):
-            grams, words = _unblob(state, "<i8", "<i4")
+            words, grams = _held(state, n)
             grams = _answered(grams, words, n, bits, ranges, answered)
             out += _following(shard, lang, grams, words, n + 1, after, ranges, last)
         return _step_table(out)
@@ -262,10 +262,19 @@ def _following(shard: str, lang: str, grams: np.ndarray, words: np.ndarray, n: i
     grams, words = _trimmed(grams, words, n)
     out = [(shard, lang, b, block, None) for b, block in _sent(grams, words, n, bits, ranges)]
     if out and not last:
-        out.append((shard, lang, None, None, _blob(grams.astype("<i8"), words.astype("<i4"))))
+        state = (words.astype("<i4"),) if n == 2 else (words.astype("<i4"), grams.astype("<i8"))
+        out.append((shard, lang, None, None, _blob(*state)))
     return out
 
 
+def _held(state: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A state's words and the phrases of n - 1 words, which are the words themselves at order 2."""
+    if n > 2:
+        return tuple(_unblob(state, "<i4", "<i8"))
+    words = _unblob(state, "<i4")[0]
+    return words, words.astype(np.int64)
+
+
 def _begin(bits: tuple[int, int], ranges: int, last: bool) -> Callable:
     """For cogroup: a shard and the ids of its frequent words -> its state and blocks of order 2."""
     def run(key: tuple, shards: pa.Table, answers: pa.Table) -> pa.Table:
@@ -315,7 +324,7 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFra
     """
     source = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").alias("text"))
     shards = save_table(source.mapInArrow(_shards, SHARD), "phrases-shards")
-    totals = shards.groupBy("lang").agg(F.sum("n_words").alias("n"))
+    totals = save_table(shards.groupBy("lang").agg(F.sum("n_words").alias("n")).coalesce(1), "phrases-totals")  # a row a language
     all_words = totals.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, all_words // RANGE_WORDS)
     blocks = shards.select("shard", "lang", "vocabulary", "counts").mapInArrow(partial(_word_blocks, ranges=ranges), WORDS)
@@ -331,6 +340,7 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFra
     bits = (width, width)
     steps = save_table(shards.select("shard", "lang", "tokens").groupBy("shard").cogroup(known.groupBy("of_shard"))
                        .applyInArrow(_begin(bits, ranges, longest == 2), STEP), "phrases-state")
+    drop_saved(shards)
     for n in range(2, longest + 1):
         each = _range_bits(ranges, sum(bits))
         merged = save_table(steps.where(F.col("block").isNotNull()).select("bucket", "shard", "block").groupBy("bucket")
