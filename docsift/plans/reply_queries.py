@@ -133,10 +133,10 @@ SELECT a.doc_id::BIGINT AS doc_id, a.industry, round(a.final_confidence, 6) AS c
        ELSE 'low' END AS band
 FROM adj a JOIN th ON a.industry = th.industry""")
 def confidence_band_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confidence banding against the industry thresholds (broadcast join)."""
+    """Confidence banding against the industry thresholds."""
     cfg = config_tables(spark)
     c = _classified(spark, sf_dir).filter(F.col("missing_required").isNotNull())
-    c = c.join(F.broadcast(cfg["industry_thresholds"]), "industry")
+    c = c.join(cfg["industry_thresholds"], "industry")
     return c.select(F.col("doc_id").cast("bigint").alias("doc_id"), "industry",
                     r6("confidence").alias("confidence"),
                     confidence_band(F.col("confidence"), F.col("minimum"), F.col("high")).alias("band"))
@@ -191,7 +191,7 @@ def conditional_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     present = F.array_distinct(F.transform(
         F.filter("features", lambda f: f["type"] != "document_type"), lambda f: f["type"]))
     r = r.withColumn("present", present)
-    j = r.join(F.broadcast(cfg["industry_conditional"]), ["industry", "doc_type"])
+    j = r.join(cfg["industry_conditional"], ["industry", "doc_type"])
     return (j.filter(~F.array_contains("present", F.col("feature_id")))
              .select(F.col("doc_id").cast("bigint").alias("doc_id"), "feature_id"))
 
