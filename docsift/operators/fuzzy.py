@@ -28,6 +28,8 @@ from ..functions.similarity import (address_parts, levenshtein_ratio, ngram_set,
                                     strip_ws, ws_split)
 from ..sources.fixed_values import MIN_MATCH_CONFIDENCE, NAME_TITLES
 
+#: A pattern with at most so many examples meets its candidates without further keys.
+FEW_EXAMPLES = 64
 CHUNK_SEPARATORS = ["\n", ".", ",", ";", ":", "-", " "]
 
 
@@ -204,7 +206,7 @@ def candidate_pairs(keys: DataFrame, examples: DataFrame, mode: str, min_confide
       by the characters in common, so the lengths are within a ratio, and so many characters are
       shared that one of each text's first ones in a fixed order is.
 
-    A threshold of 0 or less, and examples whose lower case has another length, meet everything; a null example matches nothing."""
+    Patterns of at most FEW_EXAMPLES examples, a threshold of 0 or less, and examples whose lower case has another length, meet everything; a null example matches nothing."""
     t = F.coalesce("min_conf", F.lit(min_confidence))
     if mode == "name":
         ratio, prefix_ratio = _least_ratio(0.25, 0.15, t / (1.3 * 1.2) - 0.45 * 0.3 - 1e-6), F.lit(1.0)
@@ -212,13 +214,16 @@ def candidate_pairs(keys: DataFrame, examples: DataFrame, mode: str, min_confide
         ratio, prefix_ratio = (_least_ratio(0.4, 0.3, t / boost - 1e-6) for boost in (1.2, 1.3 * 1.2 * 1.2))
     e, c = F.col("example"), F.col("cand")
     patterns = examples.groupBy("e_pattern").agg(F.first("min_conf").alias("min_conf"),
-                                                 F.sort_array(F.collect_set(F.length(F.lower(e)))).alias("lengths"))
+                                                 F.sort_array(F.collect_set(F.length(F.lower(e)))).alias("lengths"),
+                                                 (F.count("*") <= FEW_EXAMPLES).alias("few"))
     left = (keys.filter(F.col("mode") == mode).join(patterns, F.col("pattern_id") == F.col("e_pattern")).drop("e_pattern")
-            .withColumn("key", F.explode(F.concat(F.array(F.lit("all")), _blocking_keys(
-                mode, c, ratio, prefix_ratio, F.coalesce(F.try_element_at("lengths", F.lit(-1)), F.lit(0)), F.col("lengths"))))).drop("lengths"))
-    odd = (t <= 0) | (F.length(F.lower(e)) != F.length(e)) | e.contains("Σ")
-    right = (examples.filter(e.isNotNull()).withColumn("e_key", F.explode(F.when(odd, F.array(F.lit("all"))).otherwise(
-        _blocking_keys(mode, e, ratio, prefix_ratio, F.length(e), None)))).drop("min_conf"))
+            .withColumn("key", F.explode(F.when(F.col("few"), F.array(F.lit("all"))).otherwise(F.concat(F.array(F.lit("all")), _blocking_keys(
+                mode, c, ratio, prefix_ratio, F.coalesce(F.try_element_at("lengths", F.lit(-1)), F.lit(0)), F.col("lengths"))))))
+            .drop("lengths", "few"))
+    odd = F.col("few") | (t <= 0) | (F.length(F.lower(e)) != F.length(e)) | e.contains("Σ")
+    sized = patterns.select(F.col("e_pattern").alias("s_pattern"), "few")
+    right = (examples.filter(e.isNotNull()).join(sized, F.col("e_pattern").eqNullSafe(F.col("s_pattern"))).withColumn("e_key", F.explode(F.when(odd, F.array(F.lit("all"))).otherwise(
+        _blocking_keys(mode, e, ratio, prefix_ratio, F.length(e), None)))).drop("min_conf", "s_pattern", "few"))
     met = left.join(right, (F.col("pattern_id") == F.col("e_pattern")) & (F.col("key") == F.col("e_key")))
     x, y = F.length(c), F.length(e)
     met = met.filter(~F.col("key").startswith("c:") | (F.least(x, y) >= ratio * F.greatest(x, y) - 1e-6))
