@@ -26,9 +26,23 @@ def _begin(spark: SparkSession) -> None:
     bounded_batches(spark)
 
 
+def _set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns of these names, which a stage uses itself, under other names, and
+    the names to give back."""
+    away = {}
+    for c in docs.columns:
+        if c.lower() in names:
+            away[c] = c + "_"
+            while away[c].lower() in {x.lower() for x in docs.columns}:
+                away[c] += "_"
+    return docs.withColumnsRenamed(away), {new: old for old, new in away.items()}
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model marks go; it learns from the labels of the others' folds.
-    Every row is judged by its own text, also without a doc_id or when others share it."""
+    Every row is judged by its own text, also without a doc_id or when others share it.  A null
+    or empty text has the model's bias as its score; an empty table gives no rows, and columns of
+    any name pass unread."""
     _begin(spark)
     model = toxicity.train(docs, toxicity.known_labels(load(spark, sf_dir, "labels")))
     return toxicity.drop_predicted(docs, model)
@@ -36,7 +50,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model rejects go: no letters, or a score that hardly any
-    rightly predicted text has.  Every row is judged by its own text, whatever its doc_id."""
+    rightly predicted text has.  Every row is judged by its own text, whatever its doc_id.  A null
+    or empty text goes; an empty table gives no rows, and columns of any name pass unread."""
     _begin(spark)
     model = language.train(docs.where(fold(F.col("doc_id")) != 2))
     return language.drop_rejected(docs, model)
@@ -54,7 +69,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
                .agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b")).where(F.col("a") != F.col("b")))
     if several.isEmpty():  # an id is a text
         gone = near_duplicates(docs, shingle=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("g_id")).distinct()
-        return docs.join(gone, F.col("doc_id") == F.col("g_id"), "left_anti")
+        return docs.join(gone, F.col("doc_id") == F.col("g_id"), "left_anti").withColumnsRenamed(own)
     # a number for each (id, text), ascending with the id
     digest = F.sha2(text, 256)
     each = (docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("k_id"), digest.alias("k_text"))
@@ -65,19 +80,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     lowest = numbered.select(F.col("doc_id").alias("l_number"), F.col("k_id").alias("l_id"))
     gone = (found.join(keys, F.col("doc_id") == F.col("k_number")).join(lowest, F.col("component_id") == F.col("l_number"))
             .where(F.col("k_id") != F.col("l_id")).select("k_id", "k_text"))
-    return docs.join(gone, (F.col("doc_id") == F.col("k_id")) & (digest == F.col("k_text")), "left_anti")
+    return docs.join(gone, (F.col("doc_id") == F.col("k_id")) & (digest == F.col("k_text")), "left_anti").withColumnsRenamed(own)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of PASSAGE_WORDS words or more that a smaller doc_id has are cut out of the texts."""
+    """Passages of PASSAGE_WORDS words or more that a smaller doc_id has are cut out of the texts.
+
+    A null text stays null; a row without a doc_id neither loses words nor makes others lose any.
+    ``n_chars`` follows a text that was cut.  An empty table gives no rows; columns of any name,
+    also of those used here, pass unchanged."""
     _begin(spark)
+    docs, own = _set_aside(docs, "n_words", "n_removed")
     out = remove_repeats(docs, window=PASSAGE_WORDS, start=-(-PASSAGE_WORDS // 2))
     return (out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-            .select(docs.columns))
+            .select(docs.columns).withColumnsRenamed(own))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 2048 ids."""
+    """Token sequences of 2048 ids.  A null text is empty and packs its closing id alone; rows
+    without a doc_id or with a repeated one are documents of their own; other columns aren't read."""
     _begin(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
