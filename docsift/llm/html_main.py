@@ -19,6 +19,7 @@ import html
 import pickle
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: A start tag of the key closes an open element of the value.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
+#: They hide what is open outside of them from CLOSES.
+LISTS = {"ul", "ol", "dl", "table"}
 #: For labels: what marks an article, and what never belongs to one.
 MAIN = {"article", "main", "articlebody"}
 #: Every page that marks its article matches this (Spark's regex); others may.
@@ -52,54 +55,129 @@ signup login search""".split())
 #: Words that often name the part with the main text.
 CONTENT = MAIN | set("content post entry story body text page".split())
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"""|<(/?)([a-zA-Z][-\w:]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+|<)""", re.S | re.I)
+_COMMENT, _TEXT = r"<!--.*?(?:-->|\Z)", "([^<]+|<)"
+_UNSEEN = rf"<({SILENT})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>"
+_TAG = r"""<(/?)([a-zA-Z][-\w:]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+#: Groups: silent element, slash, tag, attributes, text.  _NO_TAG and _TAIL have the same groups.
+_TOKEN = re.compile(f"{_COMMENT}|{_UNSEEN}|{_TAG}|{_TEXT}", re.S | re.I)
+_NO_TAG = re.compile(f"{_COMMENT}|{_UNSEEN}|(?!)()()()|{_TEXT}", re.S | re.I)
+_TAIL = re.compile(f"{_COMMENT}|(?!)()()()()|{_TEXT}", re.S | re.I)
+_OPENS = re.compile("[a-z/!?]", re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
-class Block:
-    __slots__ = ("path", "text", "linked")
+class Place:
+    """What a block's ancestors tell of it; nested elements that add nothing share one."""
+    __slots__ = ("seen", "tag", "main", "boiler", "names")
+
+    def __init__(self, seen: frozenset[str], tag: str | None, main: bool, boiler: bool):
+        self.seen, self.tag, self.main, self.boiler = seen, tag, main, boiler
+        self.names = sorted(seen | {"@^" + tag}) if tag else []
 
-    def __init__(self, path: tuple, text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    def inside(self, tag: str, words: tuple[str, ...], known: dict | None) -> Place:
+        """The place of this place's child element; of the features only those in ``known``."""
+        marks = {tag, *words}
+        found = {"@" + tag, *("@." + w for w in words)}
+        if marks & BOILER:
+            found.add("@boiler")
+        elif tag in MAIN or not CONTENT.isdisjoint(words):
+            found.add("@content")
+        found = {f for f in found if f not in self.seen and (known is None or f in known)}
+        main, boiler = self.main or bool(marks & MAIN), self.boiler or bool(marks & BOILER)
+        if not found and (tag, main, boiler) == (self.tag, self.main, self.boiler):
+            return self
+        return Place(self.seen | found if found else self.seen, tag, main, boiler)
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order: the path of (tag, attribute words), the text with references
-    decoded and white space as one space, the characters inside links."""
+class Block:
+    __slots__ = ("place", "text", "linked")
+
+    def __init__(self, place: Place, text: str, linked: int):
+        self.place, self.text, self.linked = place, text, linked
+
+
+def _closable(page: str) -> tuple[list[int], list[bool]]:
+    """The places of quotes and ``>``, and for each whether a tag whose next one this is ends."""
+    at = [m.start() for m in re.finditer("[\"'>]", page)]
+    ends = [False] * (len(at) + 1)
+    after = {'"': len(at), "'": len(at)}
+    for i in range(len(at) - 1, -1, -1):
+        c = page[at[i]]
+        if c == ">":
+            ends[i] = True
+        else:
+            ends[i] = after[c] < len(at) and ends[after[c] + 1]
+            after[c] = i
+    return at, ends
+
+
+def _tokens(page: str) -> Iterator[re.Match]:
+    """The page's tokens, in linear time: from the first tag that never ends, each is looked up
+    before it is read, so that no second one is read to the end of the page in vain."""
+    place = 0
+    for m in _TOKEN.finditer(page):
+        if m[5] == "<" and _OPENS.match(page, m.end()):
+            place = m.start()
+            break
+        yield m
+    else:
+        return
+    last = page.rfind(">")
+    at, ends = _closable(page)
+    while place < len(page):
+        token = _TAIL if place > last else _TOKEN if ends[bisect_right(at, place)] else _NO_TAG
+        m = token.match(page, place)
+        yield m
+        place = m.end()
+
+
+def blocks(page: str, known: dict | None = None) -> list[Block]:
+    """Leaf blocks in page order: the place, the text with references decoded and white space as
+    one space, the characters inside links.  With ``known``, places have only these features,
+    which bounds the work of a page of very many nested elements.  Linear in the page."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Place]] = []
+    where: dict[str, list[int]] = {}  # open elements by tag, and the block elements among them
+    borders: list[int] = []
+    top = Place(frozenset(), None, False, False)
     parts: list[str] = []
-    linked, links = 0, 0
+    linked = 0
 
     def end() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(tuple(s for s in stack if s[0] in BLOCK or s[1]), text, linked))
+            out.append(Block(stack[-1][1] if stack else top, text, linked))
         parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            where[stack.pop()[0]].pop()
+        while borders and borders[-1] >= depth:
+            borders.pop()
+
+    def innermost(tags: set[str]) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=-1)
+
+    for m in _tokens(page):
         text = m[5]
         if text is not None:
             text = html.unescape(text)
             parts.append(text)
-            if links:
+            if where.get("a"):
                 linked += len(text)
             continue
         if m[3] is None:  # a comment or silent element stands between words
             continue
         tag = m[3].lower()
         if m[2]:
-            if any(s[0] == tag for s in stack):
-                if tag in BLOCK or any(s[0] in BLOCK for s in stack[max(i for i, s in enumerate(stack) if s[0] == tag):]):
+            if where.get(tag):
+                depth = where[tag][-1]
+                if borders and borders[-1] >= depth:
                     end()
-                while stack.pop()[0] != tag:
-                    pass
-                links = sum(s[0] == "a" for s in stack)
+                close(depth)
             elif tag in BLOCK:
                 end()
             continue
@@ -108,36 +186,31 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             end()
-            for i in range(len(stack) - 1, -1, -1):  # an open paragraph ends at the next block element
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+            if borders and stack[borders[-1]][0] == "p":  # an open paragraph ends at the next block element
+                close(borders[-1])
             if tag in CLOSES:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in CLOSES[tag]:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in ("ul", "ol", "dl", "table"):
-                        break
+                depth = innermost(CLOSES[tag])
+                if depth > innermost(LISTS):
+                    close(depth)
         if tag in VOID or m[4].rstrip().endswith("/"):
             continue
         words: tuple[str, ...] = ()
         if "=" in m[4]:
             words = tuple(w for a in _ATTRIBUTE.finditer(m[4]) for w in _WORD.findall((a[2] or a[3] or a[4] or "").lower()))
-        stack.append((tag, words))
-        links = sum(s[0] == "a" for s in stack)
+        above = stack[-1][1] if stack else top
+        where.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            borders.append(len(stack))
+        stack.append((tag, above.inside(tag, words, known) if tag in BLOCK or words else above))
     end()
     return out
 
 
 def silver(page: list[Block]) -> list[int] | None:
     """A label for each block, or None for a page that doesn't mark its article."""
-    marks = [[{tag, *words} for tag, words in b.path] for b in page]
-    if not any(s & MAIN for m in marks for s in m):
+    if not any(b.place.main for b in page):
         return None
-    return [int(any(s & MAIN for s in m) and not any(s & BOILER for s in m)) for m in marks]
+    return [int(b.place.main and not b.place.boiler) for b in page]
 
 
 def features(page: list[Block]) -> list[list[str]]:
@@ -154,17 +227,7 @@ def features(page: list[Block]) -> list[list[str]]:
             f.append("last")
         if re.search(r"[©®|»›]|cookie|copyright", b.text, re.I):
             f.append("mark")
-        seen = set()
-        for tag, names in b.path:
-            seen.add("@" + tag)
-            seen.update("@." + w for w in names)
-            if tag in BOILER or not BOILER.isdisjoint(names):
-                seen.add("@boiler")
-            elif tag in MAIN or not CONTENT.isdisjoint(names):
-                seen.add("@content")
-        if b.path:
-            seen.add("@^" + b.path[-1][0])
-        out.append(f + sorted(seen))
+        out.append(f + b.place.names)
     return out
 
 
@@ -279,7 +342,7 @@ def decode(fs: list[list[str]], model: dict) -> list[int]:
 
 
 def main_text(page: str, model: dict) -> str:
-    found = blocks(page)
+    found = blocks(page, model["weights"])
     return "\n\n".join(b.text for b, y in zip(found, decode(features(found), model)) if y)
 
 

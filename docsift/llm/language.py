@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import bounded_sample
+from .sampling import bounded_sample, one_text
 
 BITS, DIM, ORDERS = 15, 16, (3, 4)
 #: Training documents of each language and of all languages at most (about), passes over them, learning rate.
@@ -126,6 +126,7 @@ def train(labelled: DataFrame) -> dict:
               .select(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang"), "draw").distinct())
     # the sample's size is bounded: its ids go to the texts
     drawn = rows.join(F.broadcast(sample), (F.col("doc_id") == F.col("s_id")) & (F.col("lang") == F.col("s_lang")))
+    drawn = one_text(drawn.select("s_id", "lang", "draw", "text"), ["s_id", "lang", "draw"])
     features = drawn.select("lang", "draw", "text").mapInArrow(
         _features, "lang string, draw long, idx array<int>, cnt array<long>")
     model = (features.groupBy().applyInPandas(

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, fold, mix64, texts_of
-from .sampling import bounded_sample
+from .sampling import bounded_sample, one_text
 
 BITS = 20
 #: Labelled documents of each label in the sample at most (about), passes over them.
@@ -102,6 +102,7 @@ def train(docs: DataFrame, known: DataFrame) -> dict:
               .select(F.col("doc_id").alias("s_id"), "label", "weight", "draw"))
     # the sample's size is bounded: its ids go to the texts
     drawn = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("s_id"))
+    drawn = one_text(drawn.select("s_id", "label", "weight", "draw", "text"), ["s_id", "label", "weight", "draw"])
     features = (drawn.select("label", "weight", "draw", "text")
                 .mapInArrow(_features, "label int, weight double, draw long, idx array<int>"))
     model = (features.groupBy().applyInPandas(
