@@ -62,8 +62,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts are grouped, not ids: of an id that several texts share, each text is judged for
     itself, and those of a group's smallest id all stay.  Rows without a doc_id stay and let
-    no other go."""
+    no other go; so do texts without words.  An empty table gives no rows; columns of any name,
+    also of those used here, pass unchanged."""
     _begin(spark)
+    docs, own = _set_aside(docs, "g_id", "k_id", "k_text")
     text = F.coalesce("text", F.lit(""))
     several = (docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
                .agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b")).where(F.col("a") != F.col("b")))
