@@ -28,12 +28,18 @@ def model_features(features: Column) -> Column:
 
 
 def dedup_by_key(arr: Column) -> Column:
-    same = lambda a, b: (a["type"] == b["type"]) & a["value"].eqNullSafe(b["value"])
-
-    def body(a):
-        firsts = F.filter(a, lambda x, i: ~F.exists(F.slice(a, 1, i), lambda y: same(x, y)))
-        return F.transform(firsts, lambda x: F.element_at(F.filter(a, lambda y: same(x, y)), -1))
-    return let(arr, body)
+    """One element for each (type, value), nulls counting as values: places are sorted by key, and
+    each run of equal keys gives its first place and its last element.  The sort is the dearest step."""
+    def runs(a, places):
+        key = lambda x: F.struct(x["type"], x["value"])
+        firsts = F.filter(places, lambda x, i: (i == 0) | ~key(x).eqNullSafe(key(F.get(places, i - 1))))
+        lasts = F.filter(places, lambda x, i: (i == F.size(places) - 1) | ~key(x).eqNullSafe(key(F.get(places, i + 1))))
+        pairs = F.zip_with(firsts, lasts, lambda x, y: F.struct(x["at"].alias("first"), y["at"].alias("last")))
+        return F.transform(F.array_sort(pairs), lambda x: F.get(a, x["last"]))
+
+    return let(arr, lambda a: let(
+        F.array_sort(F.transform(a, lambda x, i: F.struct(x["type"].alias("type"), x["value"].alias("value"), i.alias("at")))),
+        lambda places: runs(a, places)))
 
 
 def dedup_features(df: DataFrame, model_col: str = "features",

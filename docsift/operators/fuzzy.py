@@ -58,8 +58,8 @@ def text_chunks(text: Column) -> Column:
     return F.filter(F.transform(allc, strip_ws), lambda c: c != "")
 
 
-def occurrences(df: DataFrame, text_col: str, patterns_col: str) -> DataFrame:
-    """(doc_id, mode, pattern fields, cand, start, end) for every fuzzy pattern of a document.
+def occurrences(df: DataFrame, text_col: str, patterns_col: str, row: str = "doc_id") -> DataFrame:
+    """(``row``, mode, pattern fields, cand, start, end) for every fuzzy pattern of a document.
 
     A document's words, chunks and lines are made once for each mode, before its patterns
     are opened, and the text stays behind."""
@@ -72,7 +72,7 @@ def occurrences(df: DataFrame, text_col: str, patterns_col: str) -> DataFrame:
 
     def of(mode: str, kind) -> DataFrame:
         pats = F.transform(F.filter(F.col(patterns_col), lambda p: fuzzy(p) & kind(p)), slim)
-        base = df.select("doc_id", text.alias("_t"), pats.alias("_pats")).filter(F.size("_pats") > 0)
+        base = df.select(row, text.alias("_t"), pats.alias("_pats")).filter(F.size("_pats") > 0)
         if mode == "word":
             base = _with_offsets(base, ws_split(F.lower("_t")))
         elif mode == "address":
@@ -81,10 +81,10 @@ def occurrences(df: DataFrame, text_col: str, patterns_col: str) -> DataFrame:
         else:
             base = base.withColumn("o", let(F.lower("_t"), lambda low: F.transform(text_chunks(F.col("_t")), lambda c: F.struct(
                 c.alias("cand"), (F.instr(low, F.lower(c)) - 1).cast("bigint").alias("start")))))
-        return (base.select("doc_id", "_pats", F.explode("o").alias("o"))
+        return (base.select(row, "_pats", F.explode("o").alias("o"))
                 .filter((F.col("o.start") >= 0) & ((F.lit(mode) != "address") | (F.col("o.cand") != "")))
-                .select("doc_id", F.explode("_pats").alias("p"), F.col("o.cand").alias("cand"), F.col("o.start").alias("start"))
-                .select("doc_id", F.lit(mode).alias("mode"), "p.*", "cand", "start",
+                .select(row, F.explode("_pats").alias("p"), F.col("o.cand").alias("cand"), F.col("o.start").alias("start"))
+                .select(row, F.lit(mode).alias("mode"), "p.*", "cand", "start",
                         (F.col("start") + F.length("cand")).alias("end")))
 
     return (of("word", lambda p: ~name(p) & ~address(p)).unionByName(of("name", name))
@@ -294,11 +294,14 @@ def best_examples(occ: DataFrame, min_confidence: float = MIN_MATCH_CONFIDENCE)
                                                         F.col("b.example").alias("example"))
 
 
-def fuzzy_match_rows(df: DataFrame, text_col: str = "text", patterns_col: str = "patterns") -> DataFrame:
-    occ = occurrences(df, text_col, patterns_col)
+def fuzzy_match_rows(df: DataFrame, text_col: str = "text", patterns_col: str = "patterns",
+                     row: str = "doc_id") -> DataFrame:
+    occ = occurrences(df, text_col, patterns_col, row)
+    if row != "doc_id":  # rows of the same text and patterns have the same occurrences
+        occ = occ.distinct()
     best = best_examples(occ)
     j = occ.drop("examples", "min_confidence").join(best, ["mode", "pattern_id", "cand"])
-    return j.select("doc_id", F.struct(
+    return j.select(row, F.struct(
         "pattern_id", "pattern_idx", "feature_type", F.lit("partial").alias("match_type"),
         F.col("cand").alias("text"), F.col("start").cast("bigint").alias("start"),
         F.col("end").cast("bigint").alias("end"), F.col("score").alias("confidence"),
@@ -309,8 +312,11 @@ def fuzzy_match_rows(df: DataFrame, text_col: str = "text", patterns_col: str =
 
 def fuzzy_matches(df: DataFrame, text_col: str = "text", patterns_col: str = "patterns",
                   out_col: str = "fuzzy_matches") -> DataFrame:
-    """Adds ``out_col``: the document's fuzzy matches (array, any order)."""
-    rows = fuzzy_match_rows(df, text_col, patterns_col)
-    per_doc = rows.groupBy("doc_id").agg(F.collect_list("m").alias(out_col))
-    out = df.join(per_doc, "doc_id", "left")
+    """Adds ``out_col``: the document's fuzzy matches (array, any order).  They belong to a text and
+    its patterns, so rows without an id, or with one that other texts share, get their own."""
+    ids = F.transform(F.col(patterns_col), lambda p: p["pattern_id"])
+    df = df.withColumn("_row", F.sha2(F.to_json(F.struct(F.col(text_col).alias("t"), ids.alias("p"))), 256))
+    rows = fuzzy_match_rows(df, text_col, patterns_col, "_row")
+    per_doc = rows.groupBy("_row").agg(F.collect_list("m").alias(out_col))
+    out = df.join(per_doc, "_row", "left").drop("_row")
     return out.withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast(per_doc.schema[out_col].dataType)))

@@ -32,7 +32,8 @@ def request_key() -> Column:
 def classify(requests: DataFrame, patterns: DataFrame, required: DataFrame) -> DataFrame:
     """Adds ``PAYLOAD`` to valid requests (text, industry, response)."""
     d = industry_adjust(apply_rubrics(parse_replies(requests)), required)
-    d = pattern_confidence(find_matches(attach_patterns(d, patterns, no_industry="none"), fuzzy=False))
+    fuzzy = not patterns.filter("type = 'fuzzy'").isEmpty()
+    d = pattern_confidence(find_matches(attach_patterns(d, patterns, no_industry="none"), fuzzy=fuzzy))
     d = dedup_features(d.withColumn("pattern_features", pattern_features(F.col("matches"))))
     merged = hybrid_merge(F.col("confidence"), F.col("pattern_confidence"), F.col("pattern_count"))
     return (d.withColumn("model_confidence", F.col("confidence")).withColumn("confidence", merged)

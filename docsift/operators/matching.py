@@ -144,6 +144,23 @@ def _compiled(expr: str) -> tuple[re.Pattern, tuple[int, ...]] | None:
     return rx, tuple(sorted(rx.groupindex.values()))
 
 
+def match_facts(expr: str | None, t: str):
+    """All non-overlapping matches of an expression, as the fields of RAW_MATCH; none of one that
+    is null or doesn't compile."""
+    found = _compiled(expr) if expr is not None else None
+    if found is None:
+        return
+    rx, named = found
+    core = t.strip()
+    lead = len(t) - len(t.lstrip())
+    for m in rx.finditer(t):
+        s, end, x = m.start(), m.end(), m.group()
+        groups = [(m.group(i) or "").strip() for i in named]
+        yield (x, s, end, groups, sum(map(bool, groups)), _WORD.match(x) is not None, _MARK.search(x) is not None,
+               not (s > 0 and t[s - 1].isalnum()) and not (end < len(t) and t[end].isalnum()),
+               s == lead and x == core, not x.strip())
+
+
 @F.arrow_udf(T.ArrayType(T.ArrayType(RAW_MATCH)))
 def scan(text: pa.Array, exprs: pa.Array) -> pa.Array:
     """All non-overlapping matches of each of a row's expressions in its text; a null text,
@@ -151,22 +168,10 @@ def scan(text: pa.Array, exprs: pa.Array) -> pa.Array:
     cols: dict[str, list] = {f.name: [] for f in RAW_MATCH.fields}
     per_row, per_expr, rows = [0], [0], 0
     for t, es in zip(text.to_pylist(), exprs.to_pylist()):
-        if t is not None and es:
-            core = t.strip()
-            lead = len(t) - len(t.lstrip())
         for e in es or ():
-            found = _compiled(e) if t is not None and e is not None else None
-            if found is not None:
-                rx, named = found
-                for m in rx.finditer(t):
-                    s, end, x = m.start(), m.end(), m.group()
-                    groups = [(m.group(i) or "").strip() for i in named]
-                    for name, value in zip(cols, (
-                            x, s, end, groups, sum(map(bool, groups)), _WORD.match(x) is not None,
-                            _MARK.search(x) is not None,
-                            not (s > 0 and t[s - 1].isalnum()) and not (end < len(t) and t[end].isalnum()),
-                            s == lead and x == core, not x.strip())):
-                        cols[name].append(value)
+            for facts in match_facts(e, t) if t is not None else ():
+                for name, value in zip(cols, facts):
+                    cols[name].append(value)
             per_expr.append(len(cols["start"]))
             rows += 1
         per_row.append(rows)

@@ -7,3 +7,4 @@ from . import learning_queries  # noqa: F401
 from . import fuzzy_queries  # noqa: F401
 from . import context_queries  # noqa: F401
 from . import stream_queries  # noqa: F401
+from . import store_queries  # noqa: F401

@@ -42,7 +42,8 @@ FROM feats""")
 def reply_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reply lines -> typed features (key mapping, currency amounts, CPT and section lists)."""
     p = _parsed(spark, sf_dir)
-    return (p.select("doc_id", F.posexplode("features").alias("pos", "f"))
+    # the outer explode infers no filter on its array, which would repeat the parse
+    return (p.select("doc_id", F.posexplode_outer("features").alias("pos", "f")).where("pos IS NOT NULL")
              .select(F.col("doc_id").cast("bigint").alias("doc_id"),
                      (F.col("pos") + 1).cast("bigint").alias("seq"),
                      F.col("f.type").alias("feature_type"), F.col("f.value").alias("feature_value"),

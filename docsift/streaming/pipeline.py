@@ -1,13 +1,14 @@
 """Structured Streaming jobs.
 
-``process_stream`` (R1, R2, R4, S15): documents arrive on a file (or any)
+``process_stream`` (R1, R2, R4, R5, S15): documents arrive on a file (or any)
 stream; each micro-batch is handled in ``foreachBatch``:
 
     hash contents (H52) -> drop in-batch repeats -> anti-join the results table
     (J11: contents already processed are reused, not recomputed) -> match and
     score the new contents -> append them to the results table under the
     batch id (a replayed batch overwrites its own output: idempotent) and
-    record every document's content hash in the document map.
+    record every document's content hash in the document map; the features of
+    the new contents are a second table, written under the batch id as well.
 
 The result table is the durable cache: it lives in the shared folder and is
 read back by hash, so no unbounded in-memory streaming state is kept.
@@ -36,18 +37,25 @@ from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.documents import content_hash, unexpired
+from ..operators.features import dedup_by_key, pattern_features
 from ..operators.learning import generate_expression
 from ..operators.matching import attach_patterns, find_matches, pattern_confidence
 from ..session import checkpoint_dir
 from ..sources.fixed_values import TTL_TASK_RESULT
 
-RESULT_COLS = ["content_hash", "source_doc_id", "pattern_count", "pattern_confidence",
+RESULT_COLS = ["content_hash", "industry", "source_doc_id", "features", "pattern_count", "pattern_confidence",
                "status", "error", "batch_id", "processed_at", "expires_at"]
 
 
+FEATURE = T.StructType([
+    T.StructField("type", T.StringType()), T.StructField("value", T.StringType()), T.StructField("source", T.StringType()),
+    T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("confidence", T.DoubleType())])
+
+
 def results_schema() -> T.StructType:
     return T.StructType([
-        T.StructField("content_hash", T.StringType()), T.StructField("source_doc_id", T.LongType()),
+        T.StructField("content_hash", T.StringType()), T.StructField("industry", T.StringType()),
+        T.StructField("source_doc_id", T.LongType()), T.StructField("features", T.ArrayType(FEATURE)),
         T.StructField("pattern_count", T.LongType()), T.StructField("pattern_confidence", T.DoubleType()),
         T.StructField("status", T.StringType()),
         T.StructField("error", T.StringType()), T.StructField("batch_id", T.LongType()),
@@ -76,22 +84,38 @@ def process_batch(batch: DataFrame, batch_id: int, patterns: DataFrame, out_dir:
     docs = batch.select("doc_id", "text", F.coalesce(own, F.lit(industry)).alias("industry"),
                         content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"))
     # every document's hash (document map), written per batch id -> replay-safe
-    (docs.select("doc_id", "content_hash", F.lit(batch_id).cast("bigint").alias("batch_id"))
+    (docs.select("doc_id", "content_hash", "industry", F.lit(batch_id).cast("bigint").alias("batch_id"))
          .write.mode("overwrite").parquet(f"{out_dir}/doc_map/batch_id={batch_id}"))
     results = _read_or_empty(spark, f"{out_dir}/results", results_schema())
     done = (results.filter((F.col("batch_id") != batch_id) & unexpired(F.col("expires_at"), F.current_timestamp()))
-            .select("content_hash").distinct())
-    fresh = (docs.groupBy("content_hash")
-             .agg(F.min_by(F.struct("doc_id", "text", "industry"), F.col("doc_id")).alias("d"))
-             .join(done, "content_hash", "left_anti").select("content_hash", "d.*"))
-    scored = pattern_confidence(find_matches(attach_patterns(fresh, patterns), fuzzy=False))
+            .select(F.col("content_hash").alias("d_hash"), F.col("industry").alias("d_industry")).distinct())
+    fresh = (docs.groupBy("content_hash", "industry")
+             .agg(F.min_by(F.struct("doc_id", "text"), F.col("doc_id")).alias("d"))
+             .join(done, (F.col("content_hash") == F.col("d_hash")) & F.col("industry").eqNullSafe(F.col("d_industry")), "left_anti")
+             .select("content_hash", "industry", "d.*"))
+    fuzzy = not patterns.filter("type = 'fuzzy'").isEmpty()
+    scored = pattern_confidence(find_matches(attach_patterns(fresh, patterns), fuzzy=fuzzy))
+    scored = scored.withColumn("features", dedup_by_key(pattern_features(F.col("matches"))))
     error = F.when(F.col("text").isNull() | ~F.col("text").rlike(r"(?U)\S"), F.lit("No content provided"))
-    res = scored.select("content_hash", F.col("doc_id").alias("source_doc_id"), "pattern_count",
+    res = scored.select("content_hash", "industry", F.col("doc_id").alias("source_doc_id"), "features", "pattern_count",
                         "pattern_confidence", F.when(error.isNull(), F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
                         error.alias("error"), F.lit(batch_id).cast("bigint").alias("batch_id"),
                         F.current_timestamp().alias("processed_at"),
                         (F.current_timestamp() + F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")).alias("expires_at"))
     res.write.mode("overwrite").parquet(f"{out_dir}/results/batch_id={batch_id}")
+    # The second output, from the rows just written, so that nothing is matched twice
+    made = spark.read.schema(res.schema).parquet(f"{out_dir}/results/batch_id={batch_id}")
+    (made.select("content_hash", "industry", F.posexplode("features").alias("pos", "f"))
+         .select("content_hash", "industry", (F.col("pos") + 1).cast("bigint").alias("seq"), "f.*")
+         .write.mode("overwrite").parquet(f"{out_dir}/features/batch_id={batch_id}"))
+
+
+def current_results(results: DataFrame) -> DataFrame:
+    """The newest result of each content and industry: one that expired was made again."""
+    rest = [c for c in results.columns if c not in ("content_hash", "industry")]
+    return (results.groupBy("content_hash", "industry")
+            .agg(F.max_by(F.struct(*rest), F.struct("processed_at", "batch_id")).alias("r"))
+            .select("content_hash", "industry", "r.*"))
 
 
 def process_stream(stream: DataFrame, patterns: DataFrame, out_dir: str,
