@@ -83,20 +83,26 @@ def _features(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
              pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
 
-def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
-    """Joint maximum-likelihood similarity of pairs of sketches (rows) with known set sizes."""
+def _likelihood(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The log-likelihood of pairs of sketches (rows) with known set sizes, by similarity."""
     up, down = (x > y).sum(axis=1), (x < y).sum(axis=1)
     same = x.shape[1] - up - down
     u, v = nx / (nx + ny), ny / (nx + ny)
-    most = np.minimum(nx, ny) / np.maximum(nx, ny)
 
-    def loglikelihood(j: np.ndarray) -> np.ndarray:
+    def of(j: np.ndarray) -> np.ndarray:
         p = -np.log1p(-np.maximum(u - v * j, 0) * (B - 1) / B) / np.log(B)
         q = -np.log1p(-np.maximum(v - u * j, 0) * (B - 1) / B) / np.log(B)
         tiny = 1e-12
         return up * np.log(p + tiny) + down * np.log(q + tiny) + same * np.log(np.maximum(1 - p - q, tiny))
 
-    low, high = np.zeros(len(u)), most.astype(float)  # the likelihood has one maximum
+    return of
+
+
+def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Joint maximum-likelihood similarity of pairs of sketches (rows) with known set sizes."""
+    loglikelihood = _likelihood(x, y, nx, ny)
+    most = np.minimum(nx, ny) / np.maximum(nx, ny)
+    low, high = np.zeros(len(nx)), most.astype(float)  # the likelihood has one maximum
     for _ in range(30):
         a, b = low + (high - low) / 3, high - (high - low) / 3
         better = loglikelihood(a) < loglikelihood(b)
@@ -104,6 +110,16 @@ def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np
     return (low + high) / 2
 
 
+def reaches(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least: float) -> np.ndarray:
+    """Whether the estimate is at least ``least``, which no pair's size ratio may be under: the
+    likelihood has one maximum, so up to the estimate it rises.  Holds for every such pair, and
+    for some whose estimate is smaller by less than 0.001."""
+    if least < 0.001:
+        return np.ones(len(nx), bool)
+    loglikelihood = _likelihood(x, y, nx, ny)
+    return loglikelihood(np.full(len(nx), least)) >= loglikelihood(np.full(len(nx), least - 0.001))
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), REGISTERS)
 
@@ -193,7 +209,7 @@ def _marked(frames: Iterator[pd.DataFrame], least: float, percent: int) -> Itera
                 at = at[first]
                 if len(at):
                     size = np.full(len(at), float(nx))
-                    at = at[estimate(np.broadcast_to(mine, (len(at), REGISTERS)), s[at], size, n[at].astype(float)) >= least]
+                    at = at[reaches(np.broadcast_to(mine, (len(at), REGISTERS)), s[at], size, n[at].astype(float), least)]
                 if len(at):
                     marks[at_left[row]] = True
                     marks[at_right[at]] = True

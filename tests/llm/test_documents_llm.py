@@ -11,7 +11,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from docsift.llm import bpe, language, toxicity
-from docsift.llm.neardup import REGISTERS, estimate, near_duplicates, sketch
+from docsift.llm.neardup import REGISTERS, estimate, near_duplicates, reaches, sketch
 from docsift.llm.packing import pack, plan
 from docsift.llm.repeats import levels_from, remove_repeats
 from docsift.llm.sharding import kd_shards
@@ -273,6 +273,20 @@ def test_near_duplicate_chain_without_the_smallest(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_reaches_holds_wherever_the_estimate_does():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 255, (20_000, REGISTERS)).astype(np.uint8)
+    other = np.where(rng.random(base.shape) < rng.random((len(base), 1)), base, rng.integers(0, 255, base.shape)).astype(np.uint8)
+    nx = rng.integers(1, 5000, len(base)).astype(float)
+    ny = np.ceil(nx * rng.uniform(0.8, 1, len(base)))
+    j, least = estimate(base, other, nx, ny), 0.65
+    got = reaches(base, other, nx, ny, least)
+    assert (j >= least).any() and (j < least).any()
+    assert got[j >= least + 1e-4].all()
+    assert not got[j < least - 0.002].any()
+    assert reaches(base, other, nx, ny, -0.1).all()
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_duplicates(empty).collect() == []
 
