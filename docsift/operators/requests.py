@@ -13,7 +13,7 @@ def validate_requests(requests: DataFrame, industries: DataFrame, content_col: s
 
     ``industries`` is the config listing (one row per industry); Spark broadcasts it if it is small."""
     known = industries.select(F.col("industry").alias("_known")).distinct()
-    j = requests.join(known, F.col(industry_col) == F.col("_known"), "left")
+    j = requests.join(F.broadcast(known), F.col(industry_col) == F.col("_known"), "left")
     err = (F.when(F.col(content_col).isNull() | ~F.col(content_col).rlike(r"(?U)\S"), F.lit("No content provided"))
            .when(F.col(industry_col).isNotNull() & F.col("_known").isNull(),
                  F.concat(F.lit("Invalid industry: "), F.col(industry_col))))

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.fixed_values import FINANCIAL_SIGNALS, MEDICAL_SIGNALS
 from ..functions.regex import let
-from .reply import FEATURES, feature
-
+from .reply import feature
 
 
 def _types(feats: Column) -> Column:
@@ -114,7 +113,7 @@ def industry_adjust(df: DataFrame, required: DataFrame) -> DataFrame:
     Rows without an industry, or of type 'unknown', get the no-industry amount/date
     aggregation (H42).  An industry that isn't configured is an error of the row
     (``industry_error``): its features and confidence stay as they are."""
-    df = df.join(required, "industry", "left")
+    df = df.join(F.broadcast(required), "industry", "left")  # by key, an industry's rows would meet in one task
     feats, conf = F.col("features"), F.col("confidence")
     unknown = F.col("industry").isNotNull() & F.col("required").isNull()
     req = F.coalesce(F.col("required"), F.array().cast("array<string>"))

@@ -26,10 +26,10 @@ def evaluate_rules(feats: DataFrame, rules: DataFrame) -> DataFrame:
     ``regex``: the value matches; ``length``: its length is within min and max; ``range``: it is a
     number within min and max; ``enum``: it is one of a JSON array of strings.  A bound that isn't
     given doesn't limit; a null value gives null; other rule types pass.  The rules are a
-    configuration table; whether its side is broadcast is left to its size.
+    configuration table, which is broadcast: by key, a rule's values would meet in one task.
     """
     side = rules.withColumnRenamed("industry", "_rule_industry")
-    j = feats.join(side, (F.col("industry") == F.col("_rule_industry")) & (F.col("feature_type") == F.col("feature_id"))) \
+    j = feats.join(F.broadcast(side), (F.col("industry") == F.col("_rule_industry")) & (F.col("feature_type") == F.col("feature_id"))) \
              .drop("_rule_industry")
     value, kind = F.col("feature_value"), F.col("rule_type")
     low, high = (F.get_json_object("rule_value", f"$.{k}").try_cast("double") for k in ("min", "max"))
