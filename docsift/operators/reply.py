@@ -1,4 +1,4 @@
-"""Model-reply parsing (H29-H33) as native array expressions, one row per reply.
+"""Model-reply parsing (H29-H33), one row per reply.
 
 ``parse_replies`` adds to each row:
 
@@ -9,19 +9,21 @@
   line features (original key, mapped key, currency amounts), then the CPT
   aggregate (which replaces single cpt_code features), then the section list.
 
-No UDF and no shuffle: ``split`` into lines, one ``transform`` that classifies
-each line (first rule that fires wins), then ``filter``/``flatten``.
+No shuffle: the lines of a reply are read once, in Arrow batches (array lambdas over lines
+are interpreted, and filters on a parsed column would repeat them); what is one value for
+each reply (type, confidence) is native.
 """
 
 from __future__ import annotations
 
-from itertools import chain
+import re
+from itertools import accumulate, chain
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.regex import let
 from ..sources.fixed_values import (CPT_LINE_REGEX, CURRENCY_AMOUNT_REGEX, DOC_TYPE_BANK_STATEMENT,
                                     DOC_TYPE_INVOICE, DOC_TYPE_PREFIX_REGEX, DOC_TYPE_PRESCRIPTION,
                                     DOC_TYPE_SUFFIX_REGEX, DOC_TYPE_UNKNOWN, FEATURE_KEY_MAP,
@@ -35,18 +37,11 @@ FEATURE = T.StructType([
 ])
 FEATURES = T.ArrayType(FEATURE)
 
-_J = "(?U)(?d)"   # Python str semantics: Unicode classes, only \n ends a line
-
-
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()``."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def key_map() -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(FEATURE_KEY_MAP.items())])
-
-
 def feature(type_: Column, value: Column, values: Column | None = None) -> Column:
     return F.struct(type_.alias("type"), value.alias("value"),
                     (values if values is not None else F.array(value)).alias("values"),
@@ -66,88 +61,91 @@ def normalize_doc_type(c: Column) -> Column:
             .otherwise(rest))
 
 
-def _classify(line: Column, i: Column, kmap: Column) -> Column:
-    """One reply line -> struct(kind, ...); each regex runs once per line (``let``)."""
-    return let(strip_ws(line), lambda s: let(F.struct(
-        s.alias("s"), F.lower(s).alias("low"),
-        s.rlike(_J + r"^\d+\.").alias("is_section"),
-        s.rlike(_J + CPT_LINE_REGEX).alias("is_cpt"),
-        s.rlike(_J + "^" + FEATURE_LINE_REGEX).alias("is_feat"),
-    ), lambda b: _classify_flags(b, i, kmap)))
-
-
-def _classify_flags(b: Column, i: Column, kmap: Column) -> Column:
-    s, low = b["s"], b["low"]
-    kind = (F.when(s == "", F.lit(None))
-            .when(low.contains("document type:"), F.lit("doctype"))
-            .when(low.contains("confidence score:") | low.startswith("confidence:"), F.lit("conf"))
-            .when(b["is_section"], F.lit("section"))
-            .when(b["is_cpt"], F.lit("cpt"))
-            .when(b["is_feat"], F.lit("feature")))
-    after = strip_ws(F.substring(s, F.instr(s, ":") + 1, F.length(s) + 1))   # text after the first ':'
-    multilingual = s.contains("/") & F.exists(F.array(*[F.lit(p) for p in MULTILINGUAL_PAIRS]),
-                                              lambda p: low.contains(p))
-    return let(kind, lambda k: F.struct(
-        i.alias("seq"), k.alias("kind"), multilingual.alias("ml"),
-        F.when(k == "doctype", normalize_doc_type(F.lower(after))).alias("doc_type"),
-        F.when(k == "conf", after).alias("conf_text"),
-        F.when(k == "section", strip_ws(F.regexp_extract(s, _J + SECTION_LINE_REGEX, 1))).alias("section"),
-        F.when(k == "cpt", F.regexp_extract(s, _J + CPT_LINE_REGEX, 1)).alias("cpt"),
-        F.when(k == "feature", _line_features(s, kmap)).alias("feats"),
-    ))
-
-
-def _line_features(s: Column, kmap: Column) -> Column:
-    kv = F.struct(F.lower(strip_ws(F.regexp_extract(s, _J + "^" + FEATURE_LINE_REGEX, 1))).alias("raw_key"),
-                  strip_ws(F.regexp_extract(s, _J + "^" + FEATURE_LINE_REGEX, 2)).alias("fval"))
-
-    def body(x):
-        raw_key, fval = x["raw_key"], x["fval"]
-        return let(F.struct(F.regexp_replace(raw_key, " ", "_").alias("orig"),
-                            F.try_element_at(kmap, raw_key).alias("mapped")),
-                   lambda km: _emit_line(km["orig"], km["mapped"], fval))
-    return let(kv, body)
-
-
-def _emit_line(orig: Column, mapped: Column, fval: Column) -> Column:
-    amount_line = ((mapped.isNotNull() & (mapped.startswith("item_") | mapped.contains("amount")))
-                   | orig.contains("amount"))
-    amounts = F.when(amount_line, F.regexp_extract_all(fval, F.lit(_J + CURRENCY_AMOUNT_REGEX), 0)) \
-               .otherwise(F.array().cast("array<string>"))
-    return F.concat(
-        F.array(feature(orig, fval)),
-        F.when(mapped.isNotNull() & (mapped != orig), F.array(feature(mapped, fval)))
-         .otherwise(F.array().cast(FEATURES)),
-        F.transform(amounts, lambda a: feature(F.lit("amount"), a)))
+#: White space as the other steps trim it; the class stands for ``\\s``, whose set in ``re`` is larger.
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _rule(expr: str) -> re.Pattern:
+    return re.compile(expr.replace(r"\s", f"[{_SPACE}]"))
+
+
+_SECTION, _SECTION_TITLE = _rule(r"\d+\."), _rule(SECTION_LINE_REGEX)
+_CPT, _FEATURE, _AMOUNT = _rule(CPT_LINE_REGEX), _rule(FEATURE_LINE_REGEX), _rule(CURRENCY_AMOUNT_REGEX)
+
+
+def _line_features(found: re.Match) -> list[tuple[str, str, list[str]]]:
+    """A feature line's features: original key, mapped key, currency amounts."""
+    key, value = found[1].strip(_SPACE).lower(), found[2].strip(_SPACE)
+    own, mapped = key.replace(" ", "_"), FEATURE_KEY_MAP.get(key)
+    out = [(own, value, [value])]
+    if mapped is not None and mapped != own:
+        out.append((mapped, value, [value]))
+    if "amount" in own or mapped is not None and (mapped.startswith("item_") or "amount" in mapped):
+        out += [("amount", a, [a]) for a in _AMOUNT.findall(value)]
+    return out
+
+
+def read_reply(text: str) -> tuple[str | None, str | None, bool, list[tuple[str, str, list[str]]]]:
+    """Text of the last type line and of the last confidence line, multilingual flag, features
+    (type, value, values).  Of a line, the first rule that fires wins."""
+    doc_text = conf_text = None
+    multilingual, feats, cpts, sections = False, [], [], []
+    for line in text.split("\n"):
+        s = line.strip(_SPACE)
+        if not s:
+            continue
+        low = s.lower()
+        if "/" in s and any(pair in low for pair in MULTILINGUAL_PAIRS):
+            multilingual = True
+        if "document type:" in low:
+            doc_text = s.partition(":")[2].strip(_SPACE)
+        elif "confidence score:" in low or low.startswith("confidence:"):
+            conf_text = s.partition(":")[2].strip(_SPACE)
+        elif s[0].isdigit() and _SECTION.match(s):
+            sections.append(_SECTION_TITLE.match(s)[1].strip(_SPACE))
+        elif "CPT" in s and (found := _CPT.search(s)):
+            cpts.append(found[1])
+        elif s[0] == "-" and (found := _FEATURE.match(s)):
+            feats += _line_features(found)
+    if cpts:
+        feats = [f for f in feats if f[0] != "cpt_code"] + [("cpt_code", ", ".join(cpts), cpts)]
+    if sections:
+        feats.append(("section", sections[0], sections))
+    return doc_text, conf_text, multilingual, feats
+
+
+@F.arrow_udf(T.StructType([T.StructField("doc_text", T.StringType()), T.StructField("conf_text", T.StringType()),
+                           T.StructField("multilingual", T.BooleanType()), T.StructField("features", FEATURES)]))
+def _read(response: pa.Array) -> pa.Array:
+    heads, per_row, feats = [], [0], []
+    for t in response.to_pylist():
+        *head, found = read_reply(t) if t is not None else (None, None, None, [])
+        heads.append(head)
+        feats += found
+        per_row.append(len(feats))
+    types, values, lists = zip(*feats) if feats else ((), (), ())
+    ends = pa.array([0, *accumulate(map(len, lists))], pa.int32())
+    struct = pa.StructArray.from_arrays(
+        [pa.array(types, pa.string()), pa.array(values, pa.string()),
+         pa.ListArray.from_arrays(ends, pa.array([*chain.from_iterable(lists)], pa.string())),
+         pa.array([True] * len(feats), pa.bool_())], names=["type", "value", "values", "present"])
+    starts = pa.array([None if m is None else n for n, (_, _, m) in zip(per_row, heads)] + per_row[-1:], pa.int32())
+    doc_text, conf_text, multilingual = zip(*heads) if heads else ((), (), ())
+    return pa.StructArray.from_arrays(
+        [pa.array(doc_text, pa.string()), pa.array(conf_text, pa.string()), pa.array(multilingual, pa.bool_()),
+         pa.ListArray.from_arrays(starts, struct)], names=["doc_text", "conf_text", "multilingual", "features"])
+
+
+#: Marked so that the optimizer doesn't copy the call into filters, where every reply would be read again.
+_read_once = _read.asNondeterministic()
 
 
 def parse_replies(df: DataFrame, response_col: str = "response") -> DataFrame:
-    kmap = key_map()
-    lines = F.split(F.col(response_col), "\n", -1)
-    parsed = F.filter(F.transform(lines, lambda l, i: _classify(l, i, kmap)),
-                      lambda x: x["kind"].isNotNull() | x["ml"])
-    df = df.withColumn("_lines", parsed)
-    p = F.col("_lines")
-    doc_lines = F.filter(p, lambda x: x["kind"] == "doctype")
-    conf_lines = F.filter(p, lambda x: x["kind"] == "conf")
-    last_conf = F.try_element_at(conf_lines, F.lit(-1))["conf_text"]
-    line_feats = F.flatten(F.transform(F.filter(p, lambda x: x["kind"] == "feature"), lambda x: x["feats"]))
-    cpts = F.transform(F.filter(p, lambda x: x["kind"] == "cpt"), lambda x: x["cpt"])
-    sections = F.transform(F.filter(p, lambda x: x["kind"] == "section"), lambda x: x["section"])
-    has_cpt = F.size(cpts) > 0
-    feats = F.concat(
-        F.when(has_cpt, F.filter(line_feats, lambda f: f["type"] != "cpt_code")).otherwise(line_feats),
-        F.when(has_cpt, F.array(feature(F.lit("cpt_code"), F.array_join(cpts, ", "), cpts)))
-         .otherwise(F.array().cast(FEATURES)),
-        F.when(F.size(sections) > 0, F.array(feature(F.lit("section"), F.try_element_at(sections, F.lit(1)), sections)))
-         .otherwise(F.array().cast(FEATURES)),
-    )
-    conf_double = F.when(F.size(conf_lines) > 0,
-                         F.coalesce(F.expr("try_cast(`_conf_text` as double)"),
-                                    F.lit(0.5)))
-    return (df.withColumn("doc_type", F.when(F.size(doc_lines) > 0, F.try_element_at(doc_lines, F.lit(-1))["doc_type"]))
-              .withColumn("_conf_text", F.when(F.size(conf_lines) > 0, last_conf))
-              .withColumn("reply_confidence", conf_double)
-              .withColumn("multilingual", F.exists(p, lambda x: x["ml"]))
-              .withColumn("features", feats)
-              .drop("_lines", "_conf_text"))
+    r = F.col("_reply")
+    return (df.withColumn("_reply", _read_once(F.col(response_col)))
+              .withColumn("doc_type", F.when(r["doc_text"].isNotNull(), normalize_doc_type(r["doc_text"])))
+              .withColumn("reply_confidence", F.when(r["conf_text"].isNotNull(),
+                                                     F.coalesce(r["conf_text"].try_cast("double"), F.lit(0.5))))
+              .withColumn("multilingual", r["multilingual"])
+              .withColumn("features", r["features"])
+              .drop("_reply"))

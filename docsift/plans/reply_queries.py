@@ -13,8 +13,7 @@ from ..operators.reply import parse_replies
 from ..operators.scoring import (apply_rubrics, confidence_band, hybrid_merge, industry_adjust,
                                  industry_required)
 from ..sources.configs import config_patterns, config_rows, config_tables
-from ..sources.render import reply_industry_sql, invoice_text_sql, replies, reply_select
-from ..sources.tables import table
+from ..sources.render import customer_orders, reply_industry_sql, invoice_text_sql, replies, reply_select
 from .matching_queries import resolved_sql, scored_matches_sql
 from .registry import r6, register, values_sql
 from .reply_sql import industry_ctes, parse_ctes, rubric_ctes
@@ -137,7 +136,7 @@ def confidence_band_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence banding against the industry thresholds."""
     cfg = config_tables(spark)
     c = _classified(spark, sf_dir).filter(F.col("missing_required").isNotNull())
-    c = c.join(cfg["industry_thresholds"], "industry")
+    c = c.join(F.broadcast(cfg["industry_thresholds"]), "industry")
     return c.select(F.col("doc_id").cast("bigint").alias("doc_id"), "industry",
                     r6("confidence").alias("confidence"),
                     confidence_band(F.col("confidence"), F.col("minimum"), F.col("high")).alias("band"))
@@ -192,16 +191,14 @@ def conditional_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     present = F.array_distinct(F.transform(
         F.filter("features", lambda f: f["type"] != "document_type"), lambda f: f["type"]))
     r = r.withColumn("present", present)
-    j = r.join(cfg["industry_conditional"], ["industry", "doc_type"])
+    j = r.join(F.broadcast(cfg["industry_conditional"]), ["industry", "doc_type"])
     return (j.filter(~F.array_contains("present", F.col("feature_id")))
              .select(F.col("doc_id").cast("bigint").alias("doc_id"), "feature_id"))
 
 
 # --- H43 -----------------------------------------------------------------------------
 def _hybrid_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    c = table(spark, sf_dir, "customer", "c_custkey", "c_name")
-    return (o.join(c, o.o_custkey == c.c_custkey, "left")
+    return (customer_orders(spark, sf_dir)
              .selectExpr(*reply_select("spark"), f"{invoice_text_sql('spark')} AS text"))
 
 
@@ -282,9 +279,7 @@ FROM job""")
 def process_documents_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests checked, unexpired results reused, the rest classified, matched and merged."""
     cfg = config_tables(spark)
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    c = table(spark, sf_dir, "customer", "c_custkey", "c_name")
-    requests = (o.join(c, o.o_custkey == c.c_custkey, "left")
+    requests = (customer_orders(spark, sf_dir)
                 .selectExpr(*_job_select(reply_select("spark"), invoice_text_sql("spark"))))
     now = F.lit(_JOB_NOW).cast("timestamp")
     # results of an earlier run for every seventh request; those of even ids have expired

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import spread, table
 
 
 def _fmt(dialect: str, col: str, kind: str) -> str:
@@ -55,10 +55,15 @@ def invoice_select(dialect: str) -> list[str]:
     return ["o_orderkey AS doc_id", "'financial' AS industry", f"{invoice_text_sql(dialect)} AS text"]
 
 
-def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customers, spread before the texts are made."""
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     c = table(spark, sf_dir, "customer", "c_custkey", "c_name")
-    return (o.join(c, o.o_custkey == c.c_custkey, "left")
+    return spread(o.join(c, o.o_custkey == c.c_custkey, "left"), o.count())
+
+
+def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (customer_orders(spark, sf_dir)
              .selectExpr(*invoice_select("spark")))
 
 
@@ -129,9 +134,7 @@ def reply_select(dialect: str) -> list[str]:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    c = table(spark, sf_dir, "customer", "c_custkey", "c_name")
-    return (o.join(c, o.o_custkey == c.c_custkey, "left")
+    return (customer_orders(spark, sf_dir)
              .selectExpr(*reply_select("spark")))
 
 

@@ -14,3 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
         raise ValueError(f"unknown table {name}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*cols) if cols else df
+
+
+#: Rows that one task is given where each row costs much work.
+ROWS_PER_TASK = 50_000
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` rows, dealt evenly to tasks of ROWS_PER_TASK rows, one for each core
+    at least.  Small rows that cost much work (rendered, parsed, matched) would be left to a few
+    tasks by splits and partitions of a size in bytes."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)))
