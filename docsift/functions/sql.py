@@ -46,7 +46,7 @@ def register_functions(spark: SparkSession) -> None:
 
 def match_score(p: dict, facts: tuple) -> float:
     """H2 for one match, from the facts that the matcher finds."""
-    text, _, _, _, n_named, word, marks, bounded, whole, _ = facts
+    text, _, _, _, n_named, word, marks, bounded, whole = facts
     c = (p["confidence_value"] * 0.3 + min(1.0, len(text) / 10) * 0.15 + min(1.0, p["n_groups"] / 3) * 0.1
          + 0.9 ** n_named * 0.2 + (1.0 if bounded else 0.8) * 0.15 + (1.0 if word else 0.8) * 0.1)
     if word and bounded:
@@ -82,7 +82,7 @@ def register_matcher(spark: SparkSession, patterns: DataFrame, name: str = "find
             for p in held.get(industry, ()) if text is not None else ():
                 for facts in match_facts(p["expression"], text):
                     c = match_score(p, facts)
-                    if not facts[-1] and c >= min_confidence:
+                    if c >= min_confidence:
                         yield p["pattern_id"], p["feature_type"], facts[0], facts[1], facts[2], c
 
     spark.udtf.register(name, F.udtf(FindMatches, returnType=MATCHES))

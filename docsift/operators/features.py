@@ -3,15 +3,16 @@
 Model features and pattern features are concatenated (model first) and
 de-duplicated by (type, value) the way a dict keyed by (type, value) would:
 a key keeps the position of its first occurrence and the payload of its last.
-Per-document feature lists are short, so this stays an in-row array step.
+Per-document feature lists are short, so this stays an in-row step; the dict itself runs in
+Arrow batches, since array lambdas are interpreted element by element.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..functions.regex import let
+from pyspark.sql import types as T
 
 
 def pattern_features(matches: Column) -> Column:
@@ -27,23 +28,24 @@ def model_features(features: Column) -> Column:
         F.lit(None).cast("double").alias("confidence")))
 
 
-def dedup_by_key(arr: Column) -> Column:
-    """One element for each (type, value), nulls counting as values: places are sorted by key, and
-    each run of equal keys gives its first place and its last element.  The sort is the dearest step."""
-    def runs(a, places):
-        key = lambda x: F.struct(x["type"], x["value"])
-        firsts = F.filter(places, lambda x, i: (i == 0) | ~key(x).eqNullSafe(key(F.get(places, i - 1))))
-        lasts = F.filter(places, lambda x, i: (i == F.size(places) - 1) | ~key(x).eqNullSafe(key(F.get(places, i + 1))))
-        pairs = F.zip_with(firsts, lasts, lambda x, y: F.struct(x["at"].alias("first"), y["at"].alias("last")))
-        return F.transform(F.array_sort(pairs), lambda x: F.get(a, x["last"]))
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _places(types: pa.Array, values: pa.Array) -> pa.Array:
+    """The last place of each (type, value), in the order of their first places."""
+    return pa.array([None if t is None else list({key: i for i, key in enumerate(zip(t, v))}.values())
+                     for t, v in zip(types.to_pylist(), values.to_pylist())], pa.list_(pa.int32()))
+
 
-    return let(arr, lambda a: let(
-        F.array_sort(F.transform(a, lambda x, i: F.struct(x["type"].alias("type"), x["value"].alias("value"), i.alias("at")))),
-        lambda places: runs(a, places)))
+_places_once = _places.asNondeterministic()
+
+
+def dedup_by_key(arr: Column) -> Column:
+    """One element for each (type, value), nulls counting as values; ``arr`` is read twice, so a
+    column that holds it is cheaper than the expression that makes it."""
+    return F.transform(_places_once(arr["type"], arr["value"]), lambda i: F.get(arr, i))
 
 
 def dedup_features(df: DataFrame, model_col: str = "features",
                    pattern_col: str = "pattern_features", out_col: str = "merged_features") -> DataFrame:
     both = F.concat(model_features(F.coalesce(F.col(model_col), F.array())),
                     F.coalesce(F.col(pattern_col), F.array()))
-    return df.withColumn(out_col, dedup_by_key(both))
+    return df.withColumn("_both", both).withColumn(out_col, dedup_by_key(F.col("_both"))).drop("_both")

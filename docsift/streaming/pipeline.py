@@ -95,7 +95,7 @@ def process_batch(batch: DataFrame, batch_id: int, patterns: DataFrame, out_dir:
              .select("content_hash", "industry", "d.*"))
     fuzzy = not patterns.filter("type = 'fuzzy'").isEmpty()
     scored = pattern_confidence(find_matches(attach_patterns(fresh, patterns), fuzzy=fuzzy))
-    scored = scored.withColumn("features", dedup_by_key(pattern_features(F.col("matches"))))
+    scored = scored.withColumn("_found", pattern_features(F.col("matches"))).withColumn("features", dedup_by_key(F.col("_found")))
     error = F.when(F.col("text").isNull() | ~F.col("text").rlike(r"(?U)\S"), F.lit("No content provided"))
     res = scored.select("content_hash", "industry", F.col("doc_id").alias("source_doc_id"), "features", "pattern_count",
                         "pattern_confidence", F.when(error.isNull(), F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
