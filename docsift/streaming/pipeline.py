@@ -91,7 +91,8 @@ def process_batch(batch: DataFrame, batch_id: int, patterns: DataFrame, out_dir:
             .select(F.col("content_hash").alias("d_hash"), F.col("industry").alias("d_industry")).distinct())
     fresh = (docs.groupBy("content_hash", "industry")
              .agg(F.min_by(F.struct("doc_id", "text"), F.col("doc_id")).alias("d"))
-             .join(done, (F.col("content_hash") == F.col("d_hash")) & F.col("industry").eqNullSafe(F.col("d_industry")), "left_anti")
+             # results of all earlier batches: dealt by hash, never sent to the driver to be broadcast
+             .join(done.hint("merge"), (F.col("content_hash") == F.col("d_hash")) & F.col("industry").eqNullSafe(F.col("d_industry")), "left_anti")
              .select("content_hash", "industry", "d.*"))
     fuzzy = not patterns.filter("type = 'fuzzy'").isEmpty()
     scored = pattern_confidence(find_matches(attach_patterns(fresh, patterns), fuzzy=fuzzy))
