@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import address_parts, levenshtein_ratio, ngram_similarity, street_type_norm
 from ..operators.matching import attach_patterns, find_matches, prepare_patterns
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .matching_queries import _flat
 from .registry import r6, register
 
@@ -35,6 +35,7 @@ ADDRESS_LINE = ("CAST(p_size % 20 AS STRING) || ' ' || split_part(p_name, ' ', 1
 
 def _part_texts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_size")
+    p = spread(p, p.count())
     if kind == "word":
         text = F.expr("p_name || ' ' || lower(p_type)")
     elif kind == "name":

@@ -12,7 +12,7 @@ from ..operators.matching import prepare_patterns
 from ..operators.prompts import replies_for
 from ..session import checkpoint_dir, save_table
 from ..sources.store import append_counts, count_totals, delete_patterns, read_store, upsert_patterns
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .document_queries import _MIXED, MIXED_ROWS, PATTERN_SCHEMA
 from .registry import r6, register
 
@@ -79,9 +79,10 @@ def sql_scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text scorers called from SQL, on the names of parts that follow each other."""
     register_functions(spark)
     p = table(spark, sf_dir, "part", "p_partkey", "p_name")
-    return spark.sql("""
-        SELECT CAST(a.p_partkey AS BIGINT) AS p_partkey, a.p_name AS n1, b.p_name AS n2,
-               round(seq_ratio(a.p_name, b.p_name), 6) AS ratio, round(levenshtein_ratio(a.p_name, b.p_name), 6) AS lev_ratio,
-               round(phonetic_similarity(a.p_name, b.p_name), 6) AS phonetic, word_soundex(a.p_name) AS soundex,
-               word_metaphone(a.p_name) AS metaphone
+    pairs = spark.sql("""
+        SELECT CAST(a.p_partkey AS BIGINT) AS p_partkey, a.p_name AS n1, b.p_name AS n2
         FROM {p} a JOIN {p} b ON b.p_partkey = a.p_partkey + 1""", p=p)
+    return spark.sql("""
+        SELECT p_partkey, n1, n2, round(seq_ratio(n1, n2), 6) AS ratio, round(levenshtein_ratio(n1, n2), 6) AS lev_ratio,
+               round(phonetic_similarity(n1, n2), 6) AS phonetic, word_soundex(n1) AS soundex, word_metaphone(n1) AS metaphone
+        FROM {pairs}""", pairs=spread(pairs, p.count()))
