@@ -12,7 +12,7 @@ from ..operators.matching import (attach_patterns, find_matches, prepare_pattern
                                   regex_matches)
 from ..operators.validation import confusion_metrics
 from ..sources.fixed_values import PREDEFINED_FEATURE_REGEX
-from ..sources.tables import table
+from ..sources.tables import DOCUMENTS_PER_TASK, spread, table
 from .matching_queries import _flat, resolved_sql, scored_matches_sql
 from .registry import r6, register
 
@@ -56,7 +56,8 @@ SELECT doc_id::BIGINT AS doc_id, pattern_id, feature_type, mt AS match_text, st:
 def mixed_pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal, zero-width and learned patterns (H1, H3) in one set over whole documents."""
     pats = prepare_patterns(spark.createDataFrame(MIXED_ROWS, PATTERN_SCHEMA))
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("industry", F.lit("contact"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = spread(docs, docs.count(), DOCUMENTS_PER_TASK).withColumn("industry", F.lit("contact"))
     return _flat(regex_matches(attach_patterns(docs, pats)), "regex_matches")
 
 

@@ -12,7 +12,7 @@ from ..operators.matching import prepare_patterns
 from ..operators.prompts import replies_for
 from ..session import checkpoint_dir, save_table
 from ..sources.store import append_counts, count_totals, delete_patterns, read_store, upsert_patterns
-from ..sources.tables import spread, table
+from ..sources.tables import DOCUMENTS_PER_TASK, spread, table
 from .document_queries import _MIXED, MIXED_ROWS, PATTERN_SCHEMA
 from .registry import r6, register
 
@@ -69,6 +69,7 @@ def sql_find_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matcher as a table function in SQL, over whole documents."""
     register_matcher(spark, prepare_patterns(spark.createDataFrame(MIXED_ROWS, PATTERN_SCHEMA)))
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = spread(docs, docs.count(), DOCUMENTS_PER_TASK)
     found = spark.sql("SELECT d.doc_id, m.* FROM {docs} d, LATERAL find_matches(d.text, 'contact') m", docs=docs)
     return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), "pattern_id", "feature_type", "match_text",
                         "match_start", "match_end", r6("confidence").alias("confidence"))

@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 #: Rows that one task is given where each row costs much work.
 ROWS_PER_TASK = 50_000
+#: The same for whole documents.
+DOCUMENTS_PER_TASK = 5_000
 
 
-def spread(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, of about ``rows`` rows, dealt evenly to tasks of ROWS_PER_TASK rows, one for each core
+def spread(df: DataFrame, rows: int, most: int = ROWS_PER_TASK) -> DataFrame:
+    """``df``, of about ``rows`` rows, dealt evenly to tasks of ``most`` rows, one for each core
     at least.  Small rows that cost much work (rendered, parsed, matched) would be left to a few
     tasks by splits and partitions of a size in bytes."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // most)))
