@@ -6,7 +6,8 @@ any corpus) holds all that the packing depends on.  ``plan`` repeatedly fixes th
 remainder left, finds by a bitset subset-sum program over the remaining multiset the fill
 that comes closest to the window, backtracks its counts, and uses that pattern as often
 as the counts allow.  When the closest fill still leaves a gap, a remainder is cut at a
-multiple of STEP to close it; STEP's marks carry their checksums, so no id is read twice.
+multiple of STEP to close it; STEP's marks carry the checksums of the heads, which give those
+of the tails, so no id is read twice.
 
 Every piece then finds its sequence from its number among the pieces of its length.
 Numbers are given within (length, part), after the pieces of earlier parts, so that a
@@ -33,34 +34,40 @@ STEP = 64
 #: Pieces that one task numbers, about.
 PART_ROWS = 50_000
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, heads array<long>, tails array<long>"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, heads array<long>"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end: int) -> Iterator[pa.RecordBatch]:
     """Pieces of each document: whole windows, then the remainder with the checksums of
-    its heads and tails at every multiple of STEP."""
+    its heads at every multiple of STEP."""
     encode, tail = piece_ids(path), int(end).to_bytes(4, "little")
     for batch in batches:
-        out: dict[str, list] = {n: [] for n in ("doc_id", "start", "length", "crc", "total", "heads", "tails")}
-        ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-        for doc_id, text in zip(ids_of, texts):
-            ids = memoryview(encode.ids(text.as_py() or "") + tail)
+        out: dict[str, list] = {n: [] for n in ("doc_id", "start", "length", "crc", "total", "heads")}
+        texts = (text.as_py() or "" for text in batch.column(1))
+        for doc_id, ids in zip(batch.column(0).to_pylist(), encode.each(texts)):
+            ids = memoryview(ids + tail)
             total = len(ids) // 4
             for start in range(0, total, window):
                 piece = ids[4 * start:4 * (start + window)]
-                n, heads, tails = len(piece) // 4, [], []
+                n, heads = len(piece) // 4, []
                 if n < window:
                     crc = 0
                     for at in range(STEP, n, STEP):
                         crc = zlib.crc32(piece[4 * (at - STEP):4 * at], crc)
                         heads.append(crc)
-                        tails.append(zlib.crc32(piece[4 * at:]))
-                for k, v in zip(out, (doc_id, start, n, zlib.crc32(piece), total, heads, tails)):
+                for k, v in zip(out, (doc_id, start, n, zlib.crc32(piece), total, heads)):
                     out[k].append(v)
         yield pa.RecordBatch.from_arrays(
             [pa.array(out[n], pa.int64()) for n in ("doc_id", "start", "length", "crc", "total")]
-            + [pa.array(out[n], pa.list_(pa.int64())) for n in ("heads", "tails")],
-            names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "heads", "tails"])
+            + [pa.array(out["heads"], pa.list_(pa.int64()))],
+            names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "heads"])
+
+
+def _rest(whole: int, head: int, size: int) -> int:
+    """CRC-32 of the last ``size`` bytes of some, from those of all and of what is before them.  Going
+    on from a checksum is linear in it, so zeros show what the head adds."""
+    zeros = bytes(size)
+    return whole ^ zlib.crc32(zeros, head) ^ zlib.crc32(zeros)
 
 
 @dataclass
@@ -207,7 +214,8 @@ def _placed(frames: Iterator[pd.DataFrame], rows: dict[str, list[int]]) -> Itera
             cut, tail = table["cut"][row], table["tail"][row].astype(bool)
             crc = part["ids_crc32"].to_numpy(np.int64).copy()
             for i in np.flatnonzero(cut):
-                crc[i] = part["tails" if tail[i] else "heads"].iloc[i][cut[i] // STEP - 1]
+                head = int(part["heads"].iloc[i][cut[i] // STEP - 1])
+                crc[i] = _rest(int(crc[i]), head, 4 * int(table["size"][row[i]])) if tail[i] else head
             out.append(pd.DataFrame({
                 "doc_id": part["doc_id"], "start": part["start"] + np.where(tail, cut, 0),
                 "length": table["size"][row], "ids_crc32": crc, "doc_tokens": part["doc_tokens"],

@@ -1,6 +1,7 @@
 """Every operator on documents against a brute-force version, over the awkward cases."""
 import base64
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -131,6 +132,40 @@ def test_added_tokens_have_their_ids(spark):
     assert got == {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in want.items()}
 
 
+def test_new_matches_go_through_the_model_together():
+    """One call for the new matches of a group, none for those known; forgetting changes no ids."""
+    from docsift.llm.tokens import PieceIds
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    rng = random.Random(4)
+    texts = ["", "a \xff\u0100\xa0\x85 \u65e5\u672c\U0001f600\x00 z", "x" * 300, "<|endoftext|> after", " \n\n\t", "it's 12345 -- !"]
+    texts += [" ".join("".join(rng.choices("etaoinéß漢", k=rng.randint(3, 12))) for _ in range(40)) for _ in range(60)]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+    class Calls:
+        def __init__(self, of):
+            self.of, self.n = of, 0
+
+        def encode(self, *args, **kwargs):
+            self.n += 1
+            return self.of.encode(*args, **kwargs)
+
+    ids = PieceIds(path)
+    calls = ids.words = Calls(ids.words)
+    assert list(ids.each(texts)) == want and calls.n == 1
+    assert list(ids.each(texts)) == want and calls.n == 1
+    ids.GROUP, ids.BYTES = 100, 10_000
+    ids._forget()
+    assert list(ids.each(texts)) == want and len(ids) < 100
+
+
+def test_checksum_of_a_rest():
+    from docsift.llm.packing import _rest
+    data = bytes(range(256)) * 33
+    for cut in (0, 1, 256, 4000, len(data)):
+        assert _rest(zlib.crc32(data), zlib.crc32(data[:cut]), len(data) - cut) == zlib.crc32(data[cut:])
+
+
 def test_pack_nothing(empty):
     assert pack(empty, public_tokenizers.path("byte_bpe_50k.json")).collect() == []
 
