@@ -17,7 +17,8 @@ each reply (type, confidence) is native.
 from __future__ import annotations
 
 import re
-from itertools import accumulate, chain
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from ..sources.fixed_values import (CPT_LINE_REGEX, CURRENCY_AMOUNT_REGEX, DOC_TYPE_BANK_STATEMENT,
                                     DOC_TYPE_INVOICE, DOC_TYPE_PREFIX_REGEX, DOC_TYPE_PRESCRIPTION,
                                     DOC_TYPE_SUFFIX_REGEX, DOC_TYPE_UNKNOWN, FEATURE_KEY_MAP,
-                                    FEATURE_LINE_REGEX, MULTILINGUAL_PAIRS, SECTION_LINE_REGEX)
+                                    MULTILINGUAL_PAIRS, SECTION_LINE_REGEX)
 
 FEATURE = T.StructType([
     T.StructField("type", T.StringType()),
@@ -70,70 +71,96 @@ def _rule(expr: str) -> re.Pattern:
 
 
 _SECTION, _SECTION_TITLE = _rule(r"\d+\."), _rule(SECTION_LINE_REGEX)
-_CPT, _FEATURE, _AMOUNT = _rule(CPT_LINE_REGEX), _rule(FEATURE_LINE_REGEX), _rule(CURRENCY_AMOUNT_REGEX)
+_CPT, _AMOUNT = _rule(CPT_LINE_REGEX), _rule(CURRENCY_AMOUNT_REGEX)
 
 
-def _line_features(found: re.Match) -> list[tuple[str, str, list[str]]]:
-    """A feature line's features: original key, mapped key, currency amounts."""
-    key, value = found[1].strip(_SPACE).lower(), found[2].strip(_SPACE)
+@lru_cache(maxsize=4096)
+def _feature_types(key: str) -> tuple[str, str | None, bool]:
+    """Of a feature line's key: original key, mapped key (null if the same), whether amounts are read."""
     own, mapped = key.replace(" ", "_"), FEATURE_KEY_MAP.get(key)
-    out = [(own, value, [value])]
-    if mapped is not None and mapped != own:
-        out.append((mapped, value, [value]))
-    if "amount" in own or mapped is not None and (mapped.startswith("item_") or "amount" in mapped):
-        out += [("amount", a, [a]) for a in _AMOUNT.findall(value)]
-    return out
+    amounts = "amount" in own or mapped is not None and (mapped.startswith("item_") or "amount" in mapped)
+    return own, mapped if mapped != own else None, amounts
 
 
-def read_reply(text: str) -> tuple[str | None, str | None, bool, list[tuple[str, str, list[str]]]]:
-    """Text of the last type line and of the last confidence line, multilingual flag, features
-    (type, value, values).  Of a line, the first rule that fires wins."""
+def read_reply(text: str) -> tuple[str | None, str | None, bool, list[str], list[str], list[list[str]]]:
+    """Text of the last type line and of the last confidence line, multilingual flag, features: their
+    types, their values, and the value lists of the last ones (the others' lists hold their value
+    alone).  Of a line, the first rule that fires wins."""
     doc_text = conf_text = None
-    multilingual, feats, cpts, sections = False, [], [], []
-    for line in text.split("\n"):
+    types, values, cpts, sections = [], [], [], []
+    lower = text.lower()
+    multilingual = "/" in text and any("/" in low and any(pair in low for pair in MULTILINGUAL_PAIRS) for low in lower.split("\n"))
+    for line, low in zip(text.split("\n"), lower.split("\n")):
         s = line.strip(_SPACE)
         if not s:
             continue
-        low = s.lower()
-        if "/" in s and any(pair in low for pair in MULTILINGUAL_PAIRS):
-            multilingual = True
+        start = s[0]
         if "document type:" in low:
             doc_text = s.partition(":")[2].strip(_SPACE)
-        elif "confidence score:" in low or low.startswith("confidence:"):
+        elif "confidence" in low and ("confidence score:" in low or s.lower().startswith("confidence:")):
             conf_text = s.partition(":")[2].strip(_SPACE)
-        elif s[0].isdigit() and _SECTION.match(s):
+        elif start.isdigit() and _SECTION.match(s):
             sections.append(_SECTION_TITLE.match(s)[1].strip(_SPACE))
         elif "CPT" in s and (found := _CPT.search(s)):
             cpts.append(found[1])
-        elif s[0] == "-" and (found := _FEATURE.match(s)):
-            feats += _line_features(found)
+        elif start == "-":
+            key, colon, value = s[1:].partition(":")
+            if not colon or not key:
+                continue
+            own, mapped, amounts = _feature_types(key.strip(_SPACE).lower())
+            value = value.strip(_SPACE)
+            types.append(own)
+            values.append(value)
+            if mapped is not None:
+                types.append(mapped)
+                values.append(value)
+            if amounts and (found := _AMOUNT.findall(value)):
+                types += ["amount"] * len(found)
+                values += found
+    last = []
     if cpts:
-        feats = [f for f in feats if f[0] != "cpt_code"] + [("cpt_code", ", ".join(cpts), cpts)]
+        if "cpt_code" in types:
+            values = [v for t, v in zip(types, values) if t != "cpt_code"]
+            types = [t for t in types if t != "cpt_code"]
+        types.append("cpt_code")
+        values.append(", ".join(cpts))
+        last.append(cpts)
     if sections:
-        feats.append(("section", sections[0], sections))
-    return doc_text, conf_text, multilingual, feats
+        types.append("section")
+        values.append(sections[0])
+        last.append(sections)
+    return doc_text, conf_text, multilingual, types, values, last
 
 
 @F.arrow_udf(T.StructType([T.StructField("doc_text", T.StringType()), T.StructField("conf_text", T.StringType()),
                            T.StructField("multilingual", T.BooleanType()), T.StructField("features", FEATURES)]))
 def _read(response: pa.Array) -> pa.Array:
-    heads, per_row, feats = [], [0], []
+    # flat columns: a tuple and a list for each feature cost more than the parse
+    doc_text, conf_text, multilingual, starts, sizes = [], [], [], [], []
+    types, values, listed = [], [], []
     for t in response.to_pylist():
-        *head, found = read_reply(t) if t is not None else (None, None, None, [])
-        heads.append(head)
-        feats += found
-        per_row.append(len(feats))
-    types, values, lists = zip(*feats) if feats else ((), (), ())
-    ends = pa.array([0, *accumulate(map(len, lists))], pa.int32())
+        doc, conf, flag, own, vals, last = read_reply(t) if t is not None else (None, None, None, [], [], [])
+        doc_text.append(doc)
+        conf_text.append(conf)
+        multilingual.append(flag)
+        starts.append(None if flag is None else len(types))
+        types += own
+        values += vals
+        single = len(vals) - len(last)
+        listed += vals[:single]
+        sizes += [1] * single
+        for several in last:
+            listed += several
+            sizes.append(len(several))
+    starts.append(len(types))
+    ends = pa.array([0, *accumulate(sizes)], pa.int32())
     struct = pa.StructArray.from_arrays(
         [pa.array(types, pa.string()), pa.array(values, pa.string()),
-         pa.ListArray.from_arrays(ends, pa.array([*chain.from_iterable(lists)], pa.string())),
-         pa.array([True] * len(feats), pa.bool_())], names=["type", "value", "values", "present"])
-    starts = pa.array([None if m is None else n for n, (_, _, m) in zip(per_row, heads)] + per_row[-1:], pa.int32())
-    doc_text, conf_text, multilingual = zip(*heads) if heads else ((), (), ())
+         pa.ListArray.from_arrays(ends, pa.array(listed, pa.string())),
+         pa.array([True] * len(types), pa.bool_())], names=["type", "value", "values", "present"])
     return pa.StructArray.from_arrays(
         [pa.array(doc_text, pa.string()), pa.array(conf_text, pa.string()), pa.array(multilingual, pa.bool_()),
-         pa.ListArray.from_arrays(starts, struct)], names=["doc_text", "conf_text", "multilingual", "features"])
+         pa.ListArray.from_arrays(pa.array(starts, pa.int32()), struct)], names=["doc_text", "conf_text", "multilingual", "features"])
 
 
 #: Marked so that the optimizer doesn't copy the call into filters, where every reply would be read again.

@@ -199,7 +199,6 @@ FEATURE_KEY_MAP = {
 CURRENCY_AMOUNT_REGEX = r"[€£$¥₿]\s?\d+[\d,.]*"
 SECTION_LINE_REGEX = r"^\d+\.\s*(.*?)(?:\s*-|$)"
 CPT_LINE_REGEX = r"CPT:?\s*(\d{5})"
-FEATURE_LINE_REGEX = r"-\s*([^:]+):\s*(.*)"
 MULTILINGUAL_PAIRS = ["date/fecha", "amount/monto", "invoice/factura"]
 
 # --- Document-type normalisation -------------------------------------------
