@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.matching import BROADCAST_PATTERNS, match_facts
+from ..operators.matching import BROADCAST_PATTERNS, match_facts, match_score
 from ..sources.fixed_values import MIN_MATCH_CONFIDENCE
 from .similarity import metaphone_py, phonetic_similarity, seq_ratio, soundex_py
 
@@ -44,22 +44,6 @@ def register_functions(spark: SparkSession) -> None:
                              THEN 1 - levenshtein(a, b) / greatest(length(a), length(b)) END""")
 
 
-def match_score(p: dict, facts: tuple) -> float:
-    """H2 for one match, from the facts that the matcher finds."""
-    text, _, _, _, n_named, word, marks, bounded, whole = facts
-    c = (p["confidence_value"] * 0.3 + min(1.0, len(text) / 10) * 0.15 + min(1.0, p["n_groups"] / 3) * 0.1
-         + 0.9 ** n_named * 0.2 + (1.0 if bounded else 0.8) * 0.15 + (1.0 if word else 0.8) * 0.1)
-    if word and bounded:
-        c = min(1.0, c * 1.2)
-    if whole:
-        c = min(1.0, c * 1.1)
-    if len(text) < 3 and not word:
-        c *= 0.8
-    if marks:
-        c *= 0.9
-    return c * 0.85 if p["allow_inefficient"] else c
-
-
 def register_matcher(spark: SparkSession, patterns: DataFrame, name: str = "find_matches",
                      min_confidence: float = MIN_MATCH_CONFIDENCE, most: int = BROADCAST_PATTERNS) -> None:
     """The table function ``name(text, industry)``: matches of the industry's regex and learned
@@ -81,7 +65,7 @@ def register_matcher(spark: SparkSession, patterns: DataFrame, name: str = "find
         def eval(self, text: str, industry: str):
             for p in held.get(industry, ()) if text is not None else ():
                 for facts in match_facts(p["expression"], text):
-                    c = match_score(p, facts)
+                    c = match_score(p["confidence_value"], p["n_groups"], p["allow_inefficient"], facts)
                     if c >= min_confidence:
                         yield p["pattern_id"], p["feature_type"], facts[0], facts[1], facts[2], c
 

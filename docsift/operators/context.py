@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.regex import let
 from ..sources.fixed_values import DEFAULT_CONTEXT_WEIGHTS, MIN_MATCH_CONFIDENCE
-from .matching import scored, with_scan
+from .matching import score_regex_match, with_scan
 
 
 def located_markers(text: Column, ctx: Column) -> Column:
@@ -127,12 +127,13 @@ def context_matches(df: DataFrame, text_col: str = "text", patterns_col: str = "
                     out_col: str = "context_matches") -> DataFrame:
     """Regex base matches of context patterns re-scored with their context.
     Only rows with a non-null context get context matches (as the matcher requires)."""
-    df = with_scan(df, text_col, patterns_col, ("context",), "_scan")
+    df = with_scan(df, text_col, patterns_col, ("context",), min_confidence, "_scan")
     text, ctx = F.col(text_col), F.col(context_col)
     df = df.withColumn("_markers", located_markers(text, ctx))
-    base = F.transform("_scan", lambda e: F.struct(e["p"].alias("p"), scored(e, min_confidence).alias("ms")))
-    out = F.flatten(F.transform(base, lambda b: F.transform(
-        b["ms"], lambda m: _context_match(m, b["p"], text, ctx, F.col("_markers")))))
+    pattern = lambda x: F.get(F.col(patterns_col), x["at"])
+    base = F.filter(F.transform("_scan", lambda r: F.struct(r["at"].alias("at"), score_regex_match(r, pattern(r)).alias("m"))),
+                    lambda b: b["m"]["confidence"] >= min_confidence)
+    out = F.transform(base, lambda b: _context_match(b["m"], pattern(b), text, ctx, F.col("_markers")))
     out = F.filter(out, lambda m: m["confidence"] >= min_confidence)
     return (df.withColumn(out_col, F.when(ctx.isNull(), F.array().cast(
         "array<struct<pattern_id:string,pattern_idx:int,feature_type:string,match_type:string,text:string,"

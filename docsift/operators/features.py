@@ -9,11 +9,14 @@ Arrow batches, since array lambdas are interpreted element by element.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .matching import list_rows
+
 
 def pattern_features(matches: Column) -> Column:
     return F.transform(matches, lambda m: F.struct(
@@ -31,8 +34,17 @@ def model_features(features: Column) -> Column:
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _places(types: pa.Array, values: pa.Array) -> pa.Array:
     """The last place of each (type, value), in the order of their first places."""
-    return pa.array([None if t is None else list({key: i for i, key in enumerate(zip(t, v))}.values())
-                     for t, v in zip(types.to_pylist(), values.to_pylist())], pa.list_(pa.int32()))
+    bounds, row = list_rows(types)
+    codes = [a.flatten().dictionary_encode("encode").indices.to_numpy() for a in (types, values)]
+    order = np.lexsort((*codes, row))  # stable: equal keys stay in their order
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = np.any([k[order][1:] != k[order][:-1] for k in (*codes, row)], axis=0)
+    firsts, lasts = order[new[:-1]], order[new[1:]]
+    kept = lasts[np.argsort(firsts)]
+    ends = np.searchsorted(row[kept], np.arange(len(types) + 1)).tolist()
+    places = pa.array(kept - bounds[row[kept]], pa.int32())
+    nulls = types.is_null().to_pylist()
+    return pa.ListArray.from_arrays(pa.array([None if n else e for n, e in zip([*nulls, False], ends)], pa.int32()), places)
 
 
 _places_once = _places.asNondeterministic()
